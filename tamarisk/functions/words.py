@@ -20,6 +20,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
@@ -49,14 +50,13 @@ def word_list(text: str | None) -> list[str]:
     return _WORD.findall(text.translate(_dropped()).lower())
 
 
-@F.pandas_udf("string")
 def _joined(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: " ".join(word_list(t)), na_action=None)
+    return pd.Series([" ".join(word_list(t)) if t is not None else "" for t in texts])
 
 
 def words_text(text: Column) -> Column:
     """The words joined by single spaces; '' for a text without words or a null."""
-    return _joined(text)
+    return F.pandas_udf(_joined, StringType())(text)
 
 
 def words(text: Column) -> Column:
