@@ -58,8 +58,9 @@ def hash_split(key: Column, test_fraction: float = 0.2) -> Column:
 
 
 def _unfinished(text: Column) -> Column:
-    """Whether the text ends in an abbreviation or a single letter with a full stop."""
-    tail = F.rtrim(F.lower(F.regexp_extract(text, r"([A-Za-z.]+)\.$", 1)), F.lit("."))
+    """Whether the text ends in an abbreviation or a single letter with a full stop. The last
+    24 characters tell: a longer run of letters is neither."""
+    tail = F.rtrim(F.lower(F.regexp_extract(F.right(text, F.lit(24)), r"([A-Za-z.]+)\.$", 1)), F.lit("."))
     return tail.isin(*ABBREVIATIONS) | (F.length(tail) == 1)
 
 
@@ -68,38 +69,34 @@ def sentences(text: Column) -> Column:
     stop belongs to an abbreviation. Empty for a null or blank text."""
     parts = F.split(collapse_space(F.coalesce(text, F.lit(""))), r"(?<=[.!?]) (?=[A-Z0-9(\[])")
     joined = F.aggregate(
-        F.slice(parts, 2, 1 << 30), parts[0],
-        lambda acc, p: F.when(_unfinished(acc), F.concat(acc, F.lit(" "), p)).otherwise(F.concat(acc, F.lit(_CUT), p)),
-    )
+        parts, F.lit(""), lambda acc, p: F.when(acc == "", p).otherwise(
+            F.concat(acc, F.when(_unfinished(acc), F.lit(" ")).otherwise(F.lit(_CUT)), p)))
     return F.filter(F.transform(F.split(joined, _CUT), strip), lambda s: s != "")
 
 
-def sentence_windows(sents: Column, window: int = 3, stride: int = 2, min_chars: int = 80, max_chars: int = 1200) -> Column:
-    """array<string> of overlapping windows; a long one is cut at a blank, a short last
-    one is added to the one before (the overlap then stands twice)."""
+def windows_of(sents: Column, window: int = 3, stride: int = 2, max_chars: int = 1200) -> Column:
+    """array<string> of overlapping windows of sentences; a long one is cut at a blank."""
     n = F.size(sents)
     last = F.when(n <= window, 0).otherwise(F.ceil((n - window) / stride)).cast("int")
     each = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(sents, i * stride + 1, F.lit(window)), " "))
     cut = F.transform(each, lambda t: F.when(
         F.length(t) > max_chars, F.regexp_replace(F.substring(t, 1, max_chars), " [^ ]*$", "")).otherwise(t))
-    out = F.filter(cut, lambda t: t != "")
+    return F.when(n > 0, F.filter(cut, lambda t: t != "")).otherwise(F.array().cast("array<string>"))
+
+
+def fold_tail(windows: Column, min_chars: int = 80, max_chars: int = 1200) -> Column:
+    """A short last window is added to the one before: the overlap then stands twice."""
     folded = F.concat(
-        F.slice(out, F.lit(1), F.size(out) - 2),
-        F.array(F.substring(F.concat(F.element_at(out, -2), F.lit(" "), F.element_at(out, -1)), 1, max_chars)))
-    out = F.when((F.size(out) > 1) & (F.length(F.try_element_at(out, F.lit(-1))) < min_chars), folded).otherwise(out)
-    return F.when(n > 0, out).otherwise(F.array().cast("array<string>"))
+        F.slice(windows, F.lit(1), F.greatest(F.size(windows) - 2, F.lit(0))),
+        F.array(F.substring(F.concat(F.try_element_at(windows, F.lit(-2)), F.lit(" "), F.try_element_at(windows, F.lit(-1))), 1, max_chars)))
+    short = (F.size(windows) > 1) & (F.length(F.try_element_at(windows, F.lit(-1))) < min_chars)
+    return F.when(short, folded).otherwise(windows)
 
 
-def document_passages(title: Column, abstract: Column, window: int = 3, stride: int = 2,
-                      min_chars: int = 80, max_chars: int = 1200) -> Column:
-    """array<struct<section,text>>: title with the first sentence, then the windows;
-    exact repeats and empty texts are dropped, the first occurrence stays."""
-    sents = sentences(abstract)
+def head_passage(title: Column, sents: Column, max_chars: int = 1200) -> Column:
+    """The title with the first sentence."""
     lead = F.coalesce(F.try_element_at(sents, F.lit(1)), F.lit(""))
-    head = F.substring(strip(F.concat(strip(F.coalesce(title, F.lit(""))), F.lit(" "), lead)), 1, max_chars)
-    texts = F.array_distinct(F.filter(
-        F.concat(F.array(head), sentence_windows(sents, window, stride, min_chars, max_chars)), lambda t: t != ""))
-    return F.transform(texts, lambda t: F.struct(F.when(t == head, "title").otherwise("abstract").alias("section"), t.alias("text")))
+    return F.substring(strip(F.concat(strip(F.coalesce(title, F.lit(""))), F.lit(" "), lead)), 1, max_chars)
 
 
 def citing_sentences(text: Column) -> Column:

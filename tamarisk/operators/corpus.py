@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tamarisk.config import Settings
 from tamarisk.functions.stem import stem
-from tamarisk.functions.text import document_passages, title_key, tokens
+from tamarisk.functions.text import fold_tail, head_passage, sentences, title_key, tokens, windows_of
 
 
 def unique_passages(passages: DataFrame) -> DataFrame:
@@ -21,9 +21,18 @@ def unique_passages(passages: DataFrame) -> DataFrame:
 
 
 def chunk_documents(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, ordinal, section, text) of every document with a title or abstract text."""
-    made = document_passages(F.col("title"), F.col("abstract"), s.window, s.stride, s.min_chars, s.max_chars)
-    return documents.select("doc_id", F.posexplode(made).alias("ordinal", "p")).select("doc_id", "ordinal", "p.section", "p.text")
+    """(doc_id, ordinal, section, text): the title with the first sentence, then overlapping
+    windows; exact repeats and empty texts are dropped, the first occurrence stays.
+
+    Step by step, so that no step's expression is evaluated once per use.
+    """
+    rows = documents.select("doc_id", "title", sentences(F.col("abstract")).alias("sents"))
+    rows = rows.select("doc_id", head_passage(F.col("title"), F.col("sents"), s.max_chars).alias("head"),
+                       windows_of(F.col("sents"), s.window, s.stride, s.max_chars).alias("wins"))
+    rows = rows.select("doc_id", "head", fold_tail(F.col("wins"), s.min_chars, s.max_chars).alias("wins"))
+    texts = F.array_distinct(F.filter(F.concat(F.array("head"), "wins"), lambda t: t != ""))
+    return rows.select("doc_id", "head", F.posexplode(texts).alias("ordinal", "text")).select(
+        "doc_id", "ordinal", F.when(F.col("text") == F.col("head"), "title").otherwise("abstract").alias("section"), "text")
 
 
 def postings(passages: DataFrame) -> DataFrame:
