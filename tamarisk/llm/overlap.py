@@ -4,9 +4,12 @@ Method: records are canonicalised (case, punctuation, whitespace, markup and
 Unicode forms: ``functions.words``), hashed, and evaluation hashes are joined
 with training hashes. One hash of the whole record only meets exact copies, so
 the same join also runs over hashes of parts: of each record's set of distinct
-word hashes, rarest first, the shortest prefix that two records of the wanted
-similarity must share a member of (prefix filtering; Chaudhuri et al., ICDE
-2006). Survivors are verified on the full sets, so the result is exact.
+word hashes, rarest first, the shortest prefix of which two records of the
+wanted similarity must share two members (prefix filtering; Chaudhuri et al.,
+ICDE 2006; with two members, Wang, Li and Feng, SIGMOD 2012), and of that the
+hashes of all pairs. A pair of words is far rarer than a word, so candidates
+grow with the true matches. Survivors are verified on the full sets, so the
+result is exact.
 
 Records with equal word sets are one class: copies are joined once, however
 many there are. All joins are equi-joins on hashes; nothing is broadcast by hand.
@@ -51,23 +54,31 @@ def _class_pairs(records: DataFrame, train: str, evals: tuple[str, ...], thresho
     ranked = items.join(freq, "tok").groupBy("set_hash").agg(
         F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("r")
     )
-    keep = F.size("r") - F.ceil(F.lit(threshold) * F.size("r") - F.lit(1e-9)) + 1
-    prefix = written(
-        ranked.select("set_hash", F.size("r").alias("n"), F.slice(F.col("r.tok"), F.lit(1), keep.cast("int")).alias("pre"))
-        .join(classes.select("set_hash", "is_train", "is_eval"), "set_hash"), "overlap")
+    # Similar sets share ceil(threshold * n) words of either, so they share ``common`` members of
+    # prefixes that leave out all but ``common`` of those. Two single words are similar only if equal.
+    common = 2 if threshold > 0.5 else 1
+    keep = F.size("r") - F.ceil(F.lit(threshold) * F.size("r") - F.lit(1e-9)) + common
+    prefix = ranked.select("set_hash", F.size("r").alias("n"), F.slice(F.col("r.tok"), F.lit(1), keep.cast("int")).alias("pre"))
+    if common == 2:
+        at = F.sequence(F.lit(1), F.size("pre") - 1)
+        both = F.flatten(F.transform(at, lambda i: F.transform(
+            F.slice("pre", i + 1, F.size("pre")), lambda y: F.xxhash64(F.element_at("pre", i.cast("int")), y))))
+        prefix = prefix.where("n > 1").select("set_hash", "n", both.alias("pre"))
+    prefix = written(prefix.join(classes.select("set_hash", "is_train", "is_eval"), "set_hash"), "overlap")
     side = lambda flag, name: prefix.where(flag).select(
         F.col("set_hash").alias(f"{name}_hash"), F.col("n").alias(f"{name}_n"), F.explode("pre").alias("tok"))
+    equal = classes.where("is_train and is_eval").select(F.col("set_hash").alias("train_hash"), F.col("set_hash").alias("eval_hash"))
     cand = (
         side("is_train", "train").join(side("is_eval", "eval"), "tok")
         .where((F.col("train_n") >= F.col("eval_n") * threshold - 1e-9) & (F.col("eval_n") >= F.col("train_n") * threshold - 1e-9))
-        .select("train_hash", "eval_hash").distinct()
+        .where("train_hash <> eval_hash").select("train_hash", "eval_hash").distinct()
     )
     sets = lambda name: classes.select(F.col("set_hash").alias(f"{name}_hash"), F.col("toks").alias(f"{name}_toks"))
     shared = F.size(F.array_intersect("train_toks", "eval_toks"))
     united = F.size("train_toks") + F.size("eval_toks") - F.col("shared")
     return (
         cand.join(sets("train"), "train_hash").join(sets("eval"), "eval_hash").withColumn("shared", shared)
-        .where(F.col("shared") >= threshold * united - 1e-9).select("train_hash", "eval_hash")
+        .where(F.col("shared") >= threshold * united - 1e-9).select("train_hash", "eval_hash").unionByName(equal)
     )
 
 
