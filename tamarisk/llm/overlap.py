@@ -7,9 +7,10 @@ the same join also runs over hashes of parts: of each record's set of distinct
 word hashes, rarest first, the shortest prefix of which two records of the
 wanted similarity must share two members (prefix filtering; Chaudhuri et al.,
 ICDE 2006; with two members, Wang, Li and Feng, SIGMOD 2012), and of that the
-hashes of all pairs. A pair of words is far rarer than a word, so candidates
-grow with the true matches. Survivors are verified on the full sets, so the
-result is exact.
+hashes of all pairs: a pair of words is far rarer than a word. Where two meet,
+128-bit bitmaps of their sets tell at once if they differ in too many words
+(Sandes, Teodoro and Melo, VLDB J. 2020). Survivors are verified on the full
+sets, so the result is exact.
 
 Records with equal word sets are one class: copies are joined once, however
 many there are. All joins are equi-joins on hashes; nothing is broadcast by hand.
@@ -17,7 +18,7 @@ many there are. All joins are equi-joins on hashes; nothing is broadcast by hand
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk.functions.words import words_text
@@ -38,17 +39,25 @@ def canonical_records(queries: DataFrame, id_col: str = "query_id", text_col: st
     sets = F.array_sort(F.array_distinct(F.split("canon", " ")))
     return base.select(
         "id", "split", *[f"g_{c}" for c in group_cols], F.md5("canon").alias("canon_hash"),
-        F.md5(F.array_join(sets, " ")).alias("set_hash"), F.transform(sets, lambda w: F.xxhash64(w)).alias("toks"),
+        F.xxhash64(F.array_join(sets, " ")).alias("set_hash"), F.transform(sets, lambda w: F.xxhash64(w)).alias("toks"),
     )
 
 
+def _bits(low: int) -> Column:
+    """A long with a bit for each hash of ``toks`` that falls into 64 of 128 places."""
+    place = lambda x: F.pmod(x, F.lit(128)) - low
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), place(x).cast("int"))
+    here = F.filter("toks", lambda x: place(x).between(0, 63))
+    return F.aggregate(here, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
+
+
 def _class_pairs(records: DataFrame, train: str, evals: tuple[str, ...], threshold: float) -> DataFrame:
     """(train_hash, eval_hash): classes of equal word sets, similar at the threshold."""
     classes = records.groupBy("set_hash").agg(
         F.first("toks").alias("toks"), F.max(F.col("split") == train).alias("is_train"),
         F.max(F.col("split").isin(*evals)).alias("is_eval"),
     )
-    classes = written(classes.where("is_train or is_eval"), "overlap")
+    classes = written(classes.where("is_train or is_eval").select("*", _bits(0).alias("b0"), _bits(64).alias("b1")), "overlap")
     items = classes.select("set_hash", F.explode("toks").alias("tok"))
     freq = items.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     ranked = items.join(freq, "tok").groupBy("set_hash").agg(
@@ -64,14 +73,18 @@ def _class_pairs(records: DataFrame, train: str, evals: tuple[str, ...], thresho
         both = F.flatten(F.transform(at, lambda i: F.transform(
             F.slice("pre", i + 1, F.size("pre")), lambda y: F.xxhash64(F.element_at("pre", i.cast("int")), y))))
         prefix = prefix.where("n > 1").select("set_hash", "n", both.alias("pre"))
-    prefix = written(prefix.join(classes.select("set_hash", "is_train", "is_eval"), "set_hash"), "overlap")
+    prefix = written(prefix.join(classes.select("set_hash", "is_train", "is_eval", "b0", "b1"), "set_hash"), "overlap")
     side = lambda flag, name: prefix.where(flag).select(
-        F.col("set_hash").alias(f"{name}_hash"), F.col("n").alias(f"{name}_n"), F.explode("pre").alias("tok"))
+        F.col("set_hash").alias(f"{name}_hash"), F.col("n").alias(f"{name}_n"),
+        F.col("b0").alias(f"{name}_b0"), F.col("b1").alias(f"{name}_b1"), F.explode("pre").alias("tok"))
+    both_n = F.col("train_n") + F.col("eval_n")
+    most_apart = both_n - 2 * F.ceil(F.lit(threshold / (1 + threshold)) * both_n - F.lit(1e-9))
+    apart = sum(F.bit_count(F.col(f"train_{b}").bitwiseXOR(F.col(f"eval_{b}"))) for b in ("b0", "b1"))
     equal = classes.where("is_train and is_eval").select(F.col("set_hash").alias("train_hash"), F.col("set_hash").alias("eval_hash"))
     cand = (
         side("is_train", "train").join(side("is_eval", "eval"), "tok")
         .where((F.col("train_n") >= F.col("eval_n") * threshold - 1e-9) & (F.col("eval_n") >= F.col("train_n") * threshold - 1e-9))
-        .where("train_hash <> eval_hash").select("train_hash", "eval_hash").distinct()
+        .where((F.col("train_hash") != F.col("eval_hash")) & (apart <= most_apart)).select("train_hash", "eval_hash").distinct()
     )
     sets = lambda name: classes.select(F.col("set_hash").alias(f"{name}_hash"), F.col("toks").alias(f"{name}_toks"))
     shared = F.size(F.array_intersect("train_toks", "eval_toks"))
