@@ -11,7 +11,7 @@ pairs at the wanted cosine, are ranked again by their exact cosine.
 
 Only codes travel (two longs a row); vectors are shuffled once, and only those
 of surviving pairs go on. The index depth follows the number of vectors, so
-that a cell's mean size is bounded and work grows in proportion to rows. Cells
+that a cell's mean size stays under 512 and work grows in proportion to rows. Cells
 that are still too full are refined by the next level, again and again. Equal
 vectors are one class (a 64-bit hash), so copies cost nothing.
 """
@@ -28,8 +28,11 @@ from pyspark.sql.window import Window
 
 from tamarisk.plans.materialise import written
 
-LEVELS, WORDS, LATE_BEAM = 12, 64, 3  # 72 bits a vector
+SIZES = (64, 64, 8, 8, 8, 8, *[64] * 8)  # words a level: the first six may be cells, so these grow in small steps
+LEVELS, LATE_BEAM = len(SIZES), 3  # 72 bits a vector
 HALF = LEVELS // 2
+CELL_LEVELS = 6  # 16 million cells
+MEAN_CELL = 512
 
 
 class Quantiser:
@@ -38,8 +41,9 @@ class Quantiser:
     def __init__(self, sample: np.ndarray, min_cosine: float, beam: int, seed: int = 5, rounds: int = 8) -> None:
         rng = np.random.default_rng(seed)
         self.dim, self.beam, self.depth = sample.shape[1], beam, 2
-        words, left, books = min(WORDS, len(sample)), sample.astype(np.float32), []
-        for _ in range(LEVELS):
+        left, books = sample.astype(np.float32), []
+        for size in SIZES:
+            words = min(size, len(sample))
             c = left[rng.choice(len(left), words, replace=False)].copy()
             for _ in range(rounds):
                 at = (2 * left @ c.T - (c * c).sum(1)).argmax(1)
@@ -48,8 +52,10 @@ class Quantiser:
                 c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c).astype(np.float32)
             books.append(c)
             left = left - c[(2 * left @ c.T - (c * c).sum(1)).argmax(1)]
-        self.books = np.stack(books)
-        self.flat = self.books.reshape(-1, self.dim)
+        self.books = books
+        self.flat = np.concatenate(books)
+        self.at = np.cumsum([0, *map(len, books)])  # where a level's words begin in flat
+        self.radix = np.cumprod([1, *SIZES[:CELL_LEVELS]])  # of cell numbers
         self.bound = self._calibrate(sample, min_cosine, rng)
 
     def _calibrate(self, sample: np.ndarray, cosine: float, rng: np.random.Generator) -> float:
@@ -92,24 +98,24 @@ class Quantiser:
         known = self.decode(q)
         if len(x) < self.flat.shape[0]:  # fewer rows than the table has entries: sum first, multiply then
             return known @ self.decode(x).T
-        table, words = known @ self.flat.T, self.books.shape[1]
+        table = known @ self.flat.T
         out = table[:, x[:, 0]]
         for m in range(1, LEVELS):
-            out = out + table[:, m * words + x[:, m].astype(np.int64)]
+            out += table[:, self.at[m] + x[:, m].astype(np.int64)]
         return out
 
 
 def _pack(codes: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two longs: six levels of six bits each; the second also has the norm in 16 bits."""
+    """Two longs: half the levels each, six bits a level; the second also has the norm in 16 bits."""
     shift = 6 * np.arange(HALF, dtype=np.int64)
     a, b = ((codes[:, k : k + HALF].astype(np.int64) << shift).sum(1) for k in (0, HALF))
-    return a, b | (np.clip(np.rint(norms * 16384), 0, 65535).astype(np.int64) << 36)
+    return a, b | (np.clip(np.rint(norms * 16384), 0, 65535).astype(np.int64) << 6 * HALF)
 
 
 def _unpack(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     shift = 6 * np.arange(HALF, dtype=np.int64)
     codes = np.concatenate([(a[:, None] >> shift) & 63, (b[:, None] >> shift) & 63], 1).astype(np.uint8)
-    return codes, ((b >> 36) & 65535).astype(np.float32) / 16384
+    return codes, ((b >> 6 * HALF) & 65535).astype(np.float32) / 16384
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
@@ -137,14 +143,14 @@ def fit(rows: DataFrame, dim: int, min_cosine: float, beam: int, sample_rows: in
         got = rows.select("cls", "vec").limit(sample_rows).toArrow().combine_chunks()
     _, first = np.unique(got.column("cls").to_numpy(), return_index=True)
     q = Quantiser(_unit(pa.concat_arrays(got.column("vec").chunks), dim)[first], min_cosine, beam)
-    while q.depth < 8 and n / q.books.shape[1] ** q.depth > 2048:
-        q.depth += 1
+    while q.depth < CELL_LEVELS and n / q.radix[q.depth] > MEAN_CELL:
+        q.depth, q.beam = q.depth + 1, q.beam + 3  # smaller cells: look into more of them
     return q
 
 
 def _encoded(rows: DataFrame, q: Quantiser, dim: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh = (np.int64(WORDS) ** np.arange(q.depth))[None, None]
+        weigh = q.radix[None, None, : q.depth]
         for b in batches:
             for k in range(0, b.num_rows, 2048):
                 part = b.slice(k, 2048)
@@ -161,19 +167,19 @@ def _encoded(rows: DataFrame, q: Quantiser, dim: int) -> DataFrame:
 def _refined(rows: DataFrame, q: Quantiser, depth: int) -> DataFrame:
     """Rows of cells of ``depth`` levels to cells of one level more: a member's nearest, a query's four nearest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books, words = q.books, WORDS
+        books = q.books
         for b in batches:
             if not b.num_rows:
                 continue
             cell, member, cls, c1, c2 = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             codes, _ = _unpack(c1, c2)
-            left = q.decode(codes) - sum(books[j][(cell // words**j) % words] for j in range(depth))
+            left = q.decode(codes) - sum(books[j][(cell // q.radix[j]) % SIZES[j]] for j in range(depth))
             cost = (books[depth] ** 2).sum(1) - 2 * left @ books[depth].T
             order = np.argsort(cost, axis=1)[:, :4]
             at, rank = np.divmod(np.arange(order.size), order.shape[1])
             keep = ~member[at] | (rank == 0)
             at = at[keep]
-            new = cell[at] + order.ravel()[keep].astype(np.int64) * words**depth
+            new = cell[at] + order.ravel()[keep].astype(np.int64) * q.radix[depth]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (new, member[at], cls[at], c1[at], c2[at])], names=["cell", "member", "cls", "c1", "c2"])
 
     return rows.mapInArrow(run, "cell long, member boolean, cls long, c1 long, c2 long")
@@ -267,10 +273,10 @@ def most_similar(vectors: DataFrame, id_col: str, vector_col: str, k: int = 5, m
                             F.struct(F.col("cells")[0].alias("cell"), F.lit(True).alias("member")))
     rest = once.select(F.explode(places).alias("p"), "cls", "c1", "c2").select("p.cell", "p.member", "cls", "c1", "c2")
     ready = []
-    for depth in range(q.depth, 9):  # until no cell is too full; cells of nine levels are left as they are
+    for depth in range(q.depth, CELL_LEVELS + 1):  # until no cell is too full; those of the last level are left as they are
         heads = once.select(F.col("cells")[0].alias("cell")) if depth == q.depth else rest.where("member").select("cell")
         full = written(heads.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > full_cell).select("cell"), "vectors")
-        if depth == 8 or full.isEmpty():
+        if depth == CELL_LEVELS or full.isEmpty():
             ready.append(rest)
             break
         ready.append(rest.join(full, "cell", "left_anti").select("cell", "member", "cls", "c1", "c2"))
