@@ -89,7 +89,9 @@ def _popcount(rows: np.ndarray) -> np.ndarray:
 
 def _references(records: DataFrame, sketch: Sketch, n: int, min_words: int, count: int) -> np.ndarray:
     """Fingerprints of up to ``count`` records, chosen by a hash of the id: a bounded sample."""
-    rows = records.where("content is not null").orderBy(F.xxhash64("id"), "id").limit(4 * count).select("content").collect()
+    every = max(1, records.count() // (4 * count))
+    some = records.where((F.pmod(F.xxhash64("id"), F.lit(every)) == 0) & F.col("content").isNotNull())
+    rows = some.orderBy(F.xxhash64("id"), "id").limit(4 * count).select("content").collect()
     sets = [s for r in rows if (s := shingles(r[0], n, min_words)) is not None][:count]
     size = sketch.bands * ROWS // 8
     return np.stack([sketch.fingerprint(sketch.minima(s)) for s in sets]) if sets else np.zeros((1, size), np.uint8)
