@@ -3,9 +3,11 @@
 Balanced targets: the least number of pieces is computed, their ends are set at
 equal distances, and each end moves to the strongest boundary near it (blank
 line, sentence end, line or clause end, white space; within a strength the
-nearest, then the earlier). If a piece then breaks a limit, there is one piece
-more. Every piece but the first repeats the last ``overlap`` characters of the
-one before. Only a stretch without any pause is cut at the target itself.
+nearest, then the earlier). If a piece then breaks a limit, or a cut found no
+boundary, there is one piece more, up to two. Where that doesn't help, a long
+stretch without pauses lies across the targets, and the item is cut at the last
+boundary that fits, piece by piece, if that cuts fewer stretches. Every piece
+but the first repeats the last ``overlap`` characters of the one before.
 
 One item is handled alone and in time linear in its length, so this is a plain
 map over Arrow batches: no shuffle at all beside the one that keeps repeated
@@ -66,6 +68,18 @@ def _cut(strength: np.ndarray, length: int, n: int, limit: int, overlap: tuple[i
     return spans
 
 
+def _reach(strength: np.ndarray, length: int, limit: int, overlap: tuple[int, int]) -> list[tuple[int, int]]:
+    """Each piece to the last boundary that fits; where there is none, the whole limit."""
+    low, high = overlap
+    spans, start = [], 0
+    while length - start > limit:
+        at = np.flatnonzero(strength[start + high + 1 : start + limit + 1])
+        stop = start + high + 1 + int(at[-1]) if len(at) else start + limit
+        spans.append((start, stop))
+        start = _snap(strength, stop - low, stop - high, stop - low)
+    return [*spans, (start, length)]
+
+
 def piece_spans(text: str, limit: int, overlap: tuple[int, int] = (100, 200)) -> list[tuple[int, int]]:
     """Half-open spans, each at most ``limit`` long; the whole text if it fits."""
     if limit < 3 * overlap[1]:
@@ -74,10 +88,16 @@ def piece_spans(text: str, limit: int, overlap: tuple[int, int] = (100, 200)) ->
     if length <= limit:
         return [(0, length)]
     strength = boundaries(text)
+    forced = lambda spans: sum(strength[z] == 0 for _, z in spans[:-1])
     n = math.ceil((length - overlap[1]) / (limit - overlap[1]))
-    while (spans := _cut(strength, length, n, limit, overlap)) is None:
+    found: list[list[tuple[int, int]]] = []
+    while len(found) < 3:
+        if (spans := _cut(strength, length, n, limit, overlap)) is not None:
+            if not forced(spans):
+                return spans
+            found.append(spans)
         n += 1
-    return spans
+    return min([*found, _reach(strength, length, limit, overlap)], key=lambda s: (forced(s), len(s)))
 
 
 def has_long_stretch(text: str, limit: int) -> bool:
