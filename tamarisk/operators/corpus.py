@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tamarisk.config import Settings
 from tamarisk.functions.stem import stem
@@ -131,7 +130,3 @@ def lead_passages(passages: DataFrame) -> DataFrame:
     return unique_passages(passages).where("ordinal is not null").groupBy("doc_id").agg(F.min(best).alias("b")).select(
         "doc_id", "b.passage_id", "b.text")
 
-
-def new_ids(rows: DataFrame, keys: list[str], start: int, out: str = "doc_id") -> DataFrame:
-    """Ids from ``start`` on in the order of the keys, the same whenever it is run."""
-    return rows.withColumn(out, (F.row_number().over(Window.orderBy(*keys)) + F.lit(start - 1)).cast("long"))

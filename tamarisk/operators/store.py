@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarisk.plans.materialise import numbered
+
 Rule = Callable[[Column, Column], Column]  # (stored, incoming) -> value
 
 
@@ -75,19 +77,9 @@ def upsert_documents(stored: DataFrame, incoming: DataFrame, arrival: str) -> Da
     keys = ["source", "ext_id"]
     new = last_per_key(incoming, keys, arrival)
     merged = upsert(stored, new, keys, {"cited_by": replace, "title": replace, "abstract": prefer_new})
-    top = F.lit(stored.agg(F.max("doc_id")).first()[0] or 0)
-    fresh = merged.where("doc_id is null").repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id())
-    # ids without one global window: counts per partition (as many rows as partitions), then offsets
-    from pyspark.sql.window import Window
-
-    from tamarisk.plans.materialise import written
-
-    fresh = written(fresh, "store")
-    sizes = fresh.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(*keys))
-    named = fresh.join(before, "_p").withColumn("doc_id", (top + F.col("_b") + place).cast("long")).select(*stored.columns)
-    return merged.where("doc_id is not null").unionByName(named)
+    top = stored.agg(F.max("doc_id")).first()[0] or 0
+    named = numbered(merged.where("doc_id is null"), keys, top + 1, "doc_id")
+    return merged.where("doc_id is not null").unionByName(named.select(*stored.columns))
 
 
 def insert_passages(stored: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tamarisk.operators import store
 from tamarisk.operators.components import connected_components
-from tamarisk.operators.corpus import new_ids
+from tamarisk.plans.materialise import numbered
 
 DOC = "doc_id long, source string, ext_id string, title string, abstract string, cited_by int, pmid string"
 
@@ -53,9 +53,12 @@ def test_publish_replaces_what_it_reads(spark, tmp_path):
     assert len(list(tmp_path.iterdir())) == 1
 
 
-def test_new_ids(spark):
-    df = spark.createDataFrame([("b", 1), ("a", 2), ("a", 1)], "s string, e int")
-    assert [(r.s, r.e, r.doc_id) for r in new_ids(df, ["s", "e"], 4).orderBy("doc_id").collect()] == [("a", 1, 4), ("a", 2, 5), ("b", 1, 6)]
+def test_numbering(spark):
+    df = spark.createDataFrame([("b", 1), ("a", 2), ("a", 1), (None, 0)], "s string, e int")
+    assert [(r.s, r.e, r.n) for r in numbered(df, ["s", "e"], 4).orderBy("n").collect()] == [(None, 0, 4), ("a", 1, 5), ("a", 2, 6), ("b", 1, 7)]
+    many = numbered(spark.range(1000).repartition(7), ["id"])
+    assert all(r.id == r.n for r in many.collect())
+    assert numbered(df.where("false"), ["s"]).count() == 0
 
 
 @pytest.mark.parametrize("seed", [1, 2])
