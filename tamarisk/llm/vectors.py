@@ -13,7 +13,8 @@ Only codes travel (two longs a row); vectors are shuffled once, and only those
 of surviving pairs go on. The index depth follows the number of vectors, so
 that a cell's mean size stays under 512 and work grows in proportion to rows. Cells
 that are still too full are refined by the next level, again and again. Equal
-vectors are one class (a 64-bit hash), so copies cost nothing.
+vectors are one class (a 64-bit hash), so copies cost nothing. Vectors that differ
+but share all of a cell's levels are compared with each other, all of them.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from tamarisk.plans.materialise import written
 SIZES = (64, 64, 8, 8, 8, 8, *[64] * 8)  # words a level: the first six may be cells, so these grow in small steps
 LEVELS, LATE_BEAM = len(SIZES), 3  # 72 bits a vector
 HALF = LEVELS // 2
-CELL_LEVELS = 6  # 16 million cells
+FIRST_LEVELS, CELL_LEVELS = 6, 12  # 16 million cells to begin with, 2^60 after refinement
 MEAN_CELL = 512
 
 
@@ -143,7 +144,7 @@ def fit(rows: DataFrame, dim: int, min_cosine: float, beam: int, sample_rows: in
         got = rows.select("cls", "vec").limit(sample_rows).toArrow().combine_chunks()
     _, first = np.unique(got.column("cls").to_numpy(), return_index=True)
     q = Quantiser(_unit(pa.concat_arrays(got.column("vec").chunks), dim)[first], min_cosine, beam)
-    while q.depth < CELL_LEVELS and n / q.radix[q.depth] > MEAN_CELL:
+    while q.depth < FIRST_LEVELS and n / q.radix[q.depth] > MEAN_CELL:
         q.depth, q.beam = q.depth + 1, q.beam + 3  # smaller cells: look into more of them
     return q
 
