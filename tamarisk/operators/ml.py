@@ -62,6 +62,12 @@ def embedded(text: Column, encoder: Encoder | None = None, prefix: str = "") ->
     return F.when(text.isNotNull(), F.pandas_udf(run, ArrayType(FloatType()))(F.concat(F.lit(prefix), text)))
 
 
+def embed_missing(passages: DataFrame, vectors: DataFrame, encoder: Encoder | None = None) -> DataFrame:
+    """(id, vec) for passages (passage_id, text) without one in ``vectors``: what a resumed run adds."""
+    todo = passages.join(vectors.select(F.col("id").alias("passage_id")), "passage_id", "left_anti")
+    return todo.select(F.col("passage_id").alias("id"), embedded(F.col("text"), encoder).alias("vec")).where("vec is not null")
+
+
 def pair_features(pairs: DataFrame, queries: DataFrame, passages: DataFrame, stats: DataFrame) -> DataFrame:
     """(query_id, passage_id, FEATURES...): word overlap, the share of the query covered, overlap
     weighted by rarity, and the ranks' reciprocals in both arms (0 where absent)."""
@@ -111,4 +117,4 @@ def load_model(path: str, s: Settings) -> tuple[PipelineModel | None, bool]:
     return PipelineModel.load(f"{path}/model"), json.loads(meta.read_text())["retrieval"] != s.fingerprint()
 
 
-__all__ = ["HashingEncoder", "embedded", "load_model", "logit", "pair_features", "save_model", "train_reranker"]
+__all__ = ["HashingEncoder", "embed_missing", "embedded", "load_model", "logit", "pair_features", "save_model", "train_reranker"]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tamarisk.functions.text import citing_sentences, hash_split, sentences
 from tamarisk.operators import arms, corpus, evalset, metrics, mining, store, tsquery
 from tamarisk.operators.cover import cover_score
+from tamarisk.operators.ml import embed_missing
 from tamarisk.operators.search import Corpus, eval_queries
 from tamarisk.functions.text import tokens
 from tamarisk.plans.materialise import shared_dir, written
@@ -326,6 +327,26 @@ def dense_topk(spark, d):
 sql("dense_topk", dense_cte(K_FTS), body="SELECT query_id, passage_id, score, rank FROM dense")
 
 
+@query
+def ann_lsh(spark, d):
+    """The approximate option: neighbours at or over cosine 0.8."""
+    v = _vectors(spark, d)
+    return arms.dense_ann(v.where("id % 100 = 0"), v, K_FTS)
+
+
+@query
+def embedded_passages(spark, d):
+    """Vectors by the default encoder for passages that have none stored."""
+    have = arms.unit_vectors(table(spark, d, "passages"), "passage_id", "embedding")
+    return embed_missing(corpus.unique_passages(table(spark, d, "passages")), have)
+
+
+@query
+def stemmed_lexemes(spark, d):
+    return corpus.stemmed_postings(corpus.unique_passages(table(spark, d, "passages"))).groupBy("lexeme").agg(
+        F.count(F.lit(1)).alias("ndoc"), F.sum("tf").alias("nentry"))
+
+
 def _fused(spark, d, weights, k=DEPTH):
     return arms.fuse({"fts": _fts(spark, d, DEPTH), "dense": _dense(spark, d, DEPTH)}, k, 60, weights)
 

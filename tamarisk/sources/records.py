@@ -11,6 +11,7 @@ import time
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -163,6 +164,33 @@ def normalise_records(raw: DataFrame, record_col: str = "record") -> DataFrame:
     ).where("title <> '' and ext_id <> ''")
 
 
+def reference_lists(documents: DataFrame, cache: str) -> DataFrame:
+    """(doc_id, ref_no, id, pmid, pmcid, doi): the cached reference list of each document; those
+    without a response give no rows. Each task reads the cache for its own documents."""
+    fields = ("id", "pmid", "pmcid", "doi")
+
+    def run(batches):
+        held = ResponseCache(cache)
+        for b in batches:
+            rows = []
+            for d, source, ext in zip(b["doc_id"], b["source"], b["ext_id"], strict=True):
+                body = held.get("references", {"source": source, "ext_id": ext}) or {}
+                refs = (body.get("referenceList") or {}).get("reference") or []
+                rows += [(d, n, *[None if r.get(f) is None else str(r[f]) for f in fields]) for n, r in enumerate(refs)]
+            yield pd.DataFrame(rows, columns=["doc_id", "ref_no", *fields])
+
+    return documents.select("doc_id", "source", "ext_id").mapInPandas(run, "doc_id long, ref_no int, id string, pmid string, pmcid string, doi string")
+
+
+def write_runs(runs: DataFrame, path: str, label: str) -> None:
+    """Rankings kept by label, to score again without retrieving again."""
+    runs.withColumn("label", F.lit(label)).write.mode("overwrite").parquet(f"{path}/label={label}")
+
+
+def read_runs(spark, path: str, label: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/label={label}")
+
+
 def read_judgements(spark, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, escape='"', schema="query string, doc_id long, title string, passage string, found_by string, relevance string")
 

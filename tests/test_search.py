@@ -1,10 +1,13 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tamarisk.operators import arms
-from tamarisk.operators.ml import load_model, save_model
+from tamarisk.operators.corpus import documents_with_passages, positions, stemmed_postings, unique_passages
+from tamarisk.operators.metrics import distinct_documents
+from tamarisk.operators.ml import HashingEncoder, embed_missing, load_model, save_model
 from tamarisk.operators.search import Corpus, eval_queries
-from tamarisk.sources.records import ablation_markdown
+from tamarisk.sources.records import ResponseCache, ablation_markdown, read_runs, reference_lists, write_runs
 
 D = "/root/testdata/sf0.001"
 
@@ -66,3 +69,42 @@ def test_dense_is_exact(spark):
     for q in [i for i in ok if i < 5]:
         want = sorted(((-cos(ok[q], x), i) for i, x in ok.items()))[:3]
         assert [(p, s) for _, p, s in sorted(got[q])] == [(i, -s) for s, i in want]
+
+
+def test_ann_recall(spark):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((400, 64))
+    x = np.concatenate([x, x[:100] + 0.3 * rng.standard_normal((100, 64))])
+    v = arms.unit_vectors(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i long, v array<double>"), "i", "v")
+    pairs = lambda df: {(r.query_id, r.passage_id) for r in df.where("score >= 0.8").collect()}
+    want, got = pairs(arms.dense(v, v, 5)), pairs(arms.dense_ann(v, v, 5))
+    assert len(want & got) >= 0.9 * len(want) and got <= want
+    assert arms.dense_ann(v.where("false"), v, 5).count() == 0
+
+
+def test_embedding_resumes(spark):
+    p = spark.createDataFrame([(1, "a b"), (2, "c"), (3, None), (4, "")], "passage_id long, text string")
+    have = spark.createDataFrame([(2, [1.0])], "id long, vec array<float>")
+    got = {r.id: r.vec for r in embed_missing(p, have).collect()}
+    assert set(got) == {1, 4} and sum(x * x for x in got[1]) == pytest.approx(1) and not any(got[4])
+    assert got[1] == pytest.approx(HashingEncoder().encode(["a b"])[0].tolist())
+
+
+def test_stemmed_and_nested(spark):
+    p = spark.createDataFrame([(1, 7, 0, "s", "cats cat running"), (2, 7, 1, "s", "cat"), (2, 7, 1, "s", "cat"), (3, 8, 0, "s", None)], "passage_id long, doc_id long, ordinal int, section string, text string")
+    got = {(r.passage_id, r.lexeme): r.tf for r in stemmed_postings(unique_passages(p)).collect()}
+    assert got == {(1, "cat"): 2, (1, "run"): 1, (2, "cat"): 1}
+    where = {(r.passage_id, r.lexeme): r.positions for r in positions(unique_passages(p)).collect()}
+    assert where[1, "running"] == [3]
+    docs = documents_with_passages(spark.createDataFrame([(7,), (9,)], "doc_id long"), p)
+    assert {r.doc_id: [x.passage_id for x in r.passages] for r in docs.collect()} == {7: [1, 2], 9: []}
+    rows = {r.run: (r.mean_docs, r.min_docs) for r in distinct_documents(spark.createDataFrame([("a", 1, 1, 5), ("a", 1, 2, 5), ("a", 2, 1, 5), ("a", 2, 2, 6)], "run string, query_id int, rank int, doc_id int")).collect()}
+    assert rows == {"a": (1.5, 1)}
+
+
+def test_reference_lists(spark, tmp_path):
+    ResponseCache(str(tmp_path)).put("references", {"source": "MED", "ext_id": "1"}, {"referenceList": {"reference": [{"id": 5}, {"doi": "10.1/x"}]}})
+    docs = spark.createDataFrame([(1, "MED", "1"), (2, "MED", "2")], "doc_id long, source string, ext_id string")
+    assert sorted(tuple(r) for r in reference_lists(docs, str(tmp_path)).collect()) == [(1, 0, "5", None, None, None), (1, 1, None, None, None, "10.1/x")]
+    write_runs(docs, str(tmp_path / "runs"), "x")
+    assert read_runs(spark, str(tmp_path / "runs"), "x").count() == 2
