@@ -19,7 +19,7 @@ COLUMNS = {
 def test_query(spark, name):
     df = llm.queries()[name](spark, D)
     rows = [tuple(r) for r in df.collect()]
-    assert set(df.columns) == COLUMNS.get(name, set(df.columns)) and (rows or name == "p5_found")
+    assert set(df.columns) == COLUMNS.get(name, set(df.columns)) and (rows or name in ("p5_found", "p10_found"))  # these tables have no such case
     if name in llm.oracle_sql():
         con = duckdb.connect()
         con.execute("set timezone='UTC'")
