@@ -169,7 +169,8 @@ def _encoded(rows: DataFrame, q: Quantiser, dim: int) -> DataFrame:
 
 
 def _refined(rows: DataFrame, q: Quantiser, depth: int) -> DataFrame:
-    """Rows of cells of ``depth`` levels to cells of one level more: a member's nearest, a query's four nearest."""
+    """Rows of cells of ``depth`` levels to cells of one level more: a member's nearest; a query's two
+    nearest at first and its nearest from then on, so that its cells stay few."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = q.books
         for b in batches:
@@ -179,7 +180,7 @@ def _refined(rows: DataFrame, q: Quantiser, depth: int) -> DataFrame:
             codes, _ = _unpack(c1, c2)
             left = q.decode(codes) - sum(books[j][(cell // q.radix[j]) % SIZES[j]] for j in range(depth))
             cost = (books[depth] ** 2).sum(1) - 2 * left @ books[depth].T
-            order = np.argsort(cost, axis=1)[:, :4]
+            order = np.argsort(cost, axis=1)[:, : 2 if depth == q.depth else 1]
             at, rank = np.divmod(np.arange(order.size), order.shape[1])
             keep = ~member[at] | (rank == 0)
             at = at[keep]
