@@ -7,13 +7,14 @@ with the code. The first levels' codes are the cells of an inverted index: a
 vector is listed in its nearest cell and looks into the cells of its beam.
 Within a cell, codes are scored against codes by tables of codeword products;
 pairs that score above a bound, calibrated on the sample to keep 98 of 100
-pairs at the wanted cosine, are ranked again by their exact cosine. Of more
-than ``short`` others over the bound the best scored are ranked again: ten
-times what is asked for, and the only place where a crowd of nearly equal
-vectors loses accuracy.
-
-Only codes travel (two longs a row); vectors are shuffled once, and only those
-of surviving pairs go on. The index depth follows the number of vectors, so
+pairs at the wanted cosine, are ranked again by their exact cosine. A query
+that has more than ``short`` others over the bound in one cell stands in a crowd
+its code can't tell apart: it is compared with every vector of its cells, and of
+those of a wider beam, by exact cosine. That is work in proportion to the crowd's
+square, in blocks of bounded memory.
+
+Otherwise only codes travel (two longs a row); vectors are shuffled once, and only
+those of surviving pairs go on. The index depth follows the number of vectors, so
 that a cell's mean size stays under 512 and work grows in proportion to rows. Cells
 that are still too full are refined by the next level, again and again. Equal
 vectors are one class (a 64-bit hash), so copies cost nothing. Vectors that differ
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,6 +39,7 @@ LEVELS, LATE_BEAM = len(SIZES), 3  # 84 bits a vector
 HALF = LEVELS // 2
 FIRST_LEVELS, CELL_LEVELS = 6, 12  # 16 million cells to begin with, 2^60 after refinement
 MEAN_CELL = 512
+WIDE = 4  # times the beam, for queries in a crowd
 
 
 class Quantiser:
@@ -71,15 +74,15 @@ class Quantiser:
         est = (a * b).sum(1) / np.maximum(np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1), 1e-9)
         return float(np.quantile(est, 0.02))
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray, levels: int = LEVELS, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Codes (n, levels), and the beam's codes of the first ``depth`` levels (n, beam, depth), best first."""
-        n = len(x)
+        n, beam = len(x), beam or self.beam
         codes = np.zeros((n, 1, 0), np.uint8)
         left, norm, cells = x[:, None, :], (x * x).sum(1)[:, None], None
-        for m, c in enumerate(self.books):
+        for m, c in enumerate(self.books[:levels]):
             k = len(c)
             cost = (norm[:, :, None] - 2 * (left.reshape(-1, self.dim) @ c.T).reshape(n, -1, k) + (c * c).sum(1)).reshape(n, -1)
-            width = min(self.beam if m < self.depth else LATE_BEAM, cost.shape[1])
+            width = min(beam if m < self.depth else LATE_BEAM, cost.shape[1])
             top = np.argpartition(cost, width - 1, axis=1)[:, :width]
             found = np.take_along_axis(cost, top, 1)
             order = np.argsort(found, axis=1, kind="stable")
@@ -191,22 +194,30 @@ def _refined(rows: DataFrame, q: Quantiser, depth: int) -> DataFrame:
 
 
 def _cell_pairs(rows: DataFrame, q: Quantiser, short: int) -> DataFrame:
-    """(q, x, est): members of a query's cells that score over the bound, of a cell the best ``short``.
+    """(q, x): members of a query's cells that score over the bound. Of a cell with more than
+    ``short`` of them only (q, null): codes can't tell a crowd apart, so ``_ranked`` takes the query.
 
     A block of 1,024 queries and 8,192 members is scored at a time, so memory is bounded.
     """
     def score(cls_q: np.ndarray, cq: tuple, cls_m: np.ndarray, cm: tuple) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(cls_q), 1024):
             some, codes, norm = cls_q[k : k + 1024], cq[0][k : k + 1024], cq[1][k : k + 1024]
+            n, at, met = np.zeros(len(some), np.int64), [], []
             for j in range(0, len(cls_m), 8192):
                 others = cls_m[j : j + 8192]
                 s = q.scores(codes, cm[0][j : j + 8192]) / np.maximum(norm[:, None] * cm[1][None, j : j + 8192], 1e-9)
                 s[some[:, None] == others[None]] = -2
-                if s.shape[1] > short and ((s >= q.bound).sum(axis=1) > short).any():
-                    s[s < np.partition(s, s.shape[1] - short, axis=1)[:, s.shape[1] - short, None]] = -2
-                i, m = np.nonzero(s >= q.bound)
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(some[i]), pa.array(others[m]), pa.array(s[i, m].astype(np.float32))], names=["q", "x", "est"])
+                over = s >= q.bound
+                n += over.sum(axis=1)
+                over[n > short] = False
+                i, m = np.nonzero(over)
+                at.append(i)
+                met.append(others[m])
+            i, x = np.concatenate(at), np.concatenate(met)
+            fine, crowd = n[i] <= short, some[n > short]
+            if fine.any() or len(crowd):
+                x = pa.chunked_array([pa.array(x[fine]), pa.nulls(len(crowd), pa.int64())]).combine_chunks()
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([some[i[fine]], crowd])), x], names=["q", "x"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64), np.empty(0, bool), *[np.empty(0, np.int64) for _ in range(3)]]
@@ -238,7 +249,7 @@ def _cell_pairs(rows: DataFrame, q: Quantiser, short: int) -> DataFrame:
         if len(held[0]):
             yield from work(held)
 
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "q long, x long, est float")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "q long, x long")
 
 
 def _exact(pairs: DataFrame, rows: DataFrame, dim: int, min_cosine: float) -> DataFrame:
@@ -256,6 +267,90 @@ def _exact(pairs: DataFrame, rows: DataFrame, dim: int, min_cosine: float) -> Da
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "va", "vb").mapInArrow(run, "a long, b long, cosine double")
 
 
+def _best(v: np.ndarray, own: np.ndarray, u: np.ndarray, cls: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``v`` and of ``u`` that belong together: the k best of another class at or over
+    ``least``; of equal ones those that stand first in ``u``. Memory is bounded."""
+    rows, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for lo in range(0, len(v), 1024):
+        some, mine = v[lo : lo + 1024], own[lo : lo + 1024]
+        row, at, c = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        edge = np.full(len(some), least - 1e-12)
+        j = 0
+        while j < len(u):
+            w = 8192 if j else 1024
+            s = some @ u[j : j + w].T
+            if not j and s.shape[1] > k + 1:  # one more: a row may meet itself
+                edge = np.maximum(edge, np.partition(s, s.shape[1] - k - 1, axis=1)[:, s.shape[1] - k - 1] - 1e-12)
+            i, m = np.nonzero(s >= edge[:, None])
+            other = mine[i] != cls[m + j]
+            i, m = i[other], m[other]
+            if len(i):
+                row, at, c = np.concatenate([row, i]), np.concatenate([at, m + j]), np.concatenate([c, np.round(s[i, m], 12)])
+                order = np.lexsort((at, -c, row))
+                row, at, c = row[order], at[order], c[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                last = place == k - 1
+                edge[row[last]] = np.maximum(edge[row[last]], c[last] + 2.5e-13)  # later ones that are equal lose
+                row, at, c = row[place < k], at[place < k], c[place < k]
+            j += w
+        rows.append(row + lo)
+        places.append(at)
+    return np.concatenate(rows), np.concatenate(places)
+
+
+def _ranked(crowd: DataFrame, once: DataFrame, rows: DataFrame, members: DataFrame, q: Quantiser, dim: int, k: int,
+            min_cosine: float, block: int = 16_384) -> DataFrame:
+    """(a, b, cosine), in double: the k most similar others of each class of ``crowd`` (cls) among all
+    members of its cells and of those of a beam ``WIDE`` times as wide.
+
+    Every member is compared. A cell is a grid of member x query blocks of about ``block`` rows
+    each, by salts, so a cell of any size spreads over all tasks and memory is bounded.
+    """
+    def wider(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh = q.radix[None, None, : q.depth]
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                beam = q.encode(_unit(part.column("vec"), dim).astype(np.float32), q.depth, WIDE * q.beam)[1]
+                cells = (beam.astype(np.int64) * weigh).sum(2)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1, dtype=np.int32) * cells.shape[1]), pa.array(cells.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("cls"), part.column("cells"), lists], names=["cls", "cells", "wide"])
+
+    def compare(t: pa.Table) -> pa.Table:
+        asks = t.filter(pc.invert(t.column("member")))
+        t = t.filter(t.column("member")).sort_by("id")
+        out = [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())]
+        if t.num_rows and asks.num_rows:
+            v, u = (_unit(pa.concat_arrays(x.column("vec").chunks), dim) for x in (asks, t))
+            own, cls = asks.column("cls").to_numpy(), t.column("cls").to_numpy()
+            i, m = _best(v, own, u, cls, k, min_cosine)
+            c = np.round((v[i] * u[m]).sum(1), 12)
+            keep = c >= min_cosine
+            out = [pa.array(x[keep]) for x in (own[i], cls[m], c)]
+        return pa.Table.from_arrays(out, names=["a", "b", "cosine"])
+
+    spark = rows.sparkSession
+    all_ = written(rows.select("cls", "vec").dropDuplicates(["cls"]).join(members.groupBy("cls").agg(F.min("id").alias("id")), "cls"), "vectors")
+    asked = all_.join(crowd, "cls").join(once.select("cls", "cells"), "cls").select("cls", "vec", "cells").mapInArrow(
+        wider, "cls long, cells array<long>, wide array<long>")
+    asked = written(asked.select("cls", F.explode(F.array_union("cells", "wide")).alias("cell")), "vectors")
+    home = once.select("cls", F.col("cells")[0].alias("cell"))
+    n = lambda df, c: df.groupBy("cell").agg(F.count(F.lit(1)).alias(c))
+    parts = lambda c: F.ceil(F.col(c) / block).cast("int")
+    grid = written(n(asked, "nq").join(n(home, "nm"), "cell").select("cell", parts("nq").alias("qs"), parts("nm").alias("ms"), (F.col("nq") * F.col("nm")).alias("work")), "vectors")
+    salt = lambda seed, c: F.pmod(F.xxhash64(F.lit(seed), "cls"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = asked.join(grid, "cell").select("cell", salt(1, "qs").alias("qi"), every("ms").alias("mi"), F.lit(False).alias("member"), "cls")
+    right = home.join(grid, "cell").select("cell", every("qs").alias("qi"), salt(2, "ms").alias("mi"), F.lit(True).alias("member"), "cls")
+    work = grid.agg(F.sum("work")).first()[0] or 0
+    tasks = min(20_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), work // 2_000_000_000))
+    keys = ("cell", "qi", "mi")
+    found = left.unionByName(right).join(all_, "cls").repartition(tasks, *keys).groupBy(*keys).applyInArrow(compare, "a long, b long, cosine double")
+    w = Window.partitionBy("a").orderBy(F.desc("cosine"), "lead")
+    lead = all_.select(F.col("cls").alias("b"), F.col("id").alias("lead"))
+    return found.join(lead, "b").withColumn("i", F.row_number().over(w)).where(F.col("i") <= k).select("a", "b", "cosine")
+
+
 def most_similar(vectors: DataFrame, id_col: str, vector_col: str, k: int = 5, min_cosine: float = 0.9, dim: int = 64, beam: int = 6,
                  sample_rows: int = 20_000, full_cell: int = 16_384, short: int = 48) -> DataFrame:
     """(id, other, cosine, place): the up to k most similar others of every id, among those
@@ -289,10 +384,15 @@ def most_similar(vectors: DataFrame, id_col: str, vector_col: str, k: int = 5, m
     scored = _cell_pairs(ready[0], q, short)
     for more in ready[1:]:
         scored = scored.unionByName(_cell_pairs(more, q, short))
-    order = Window.partitionBy("q").orderBy(F.desc("est"), "x")
-    listed = scored.withColumn("i", F.row_number().over(order)).where(F.col("i") <= short)
-    pairs = written(listed.select(F.least("q", "x").alias("a"), F.greatest("q", "x").alias("b")).distinct(), "vectors")
-    near = written(_exact(pairs, rows, dim, min_cosine), "vectors")
+    scored = written(scored, "vectors")
+    crowd = written(scored.where("x is null").select(F.col("q").alias("cls")).distinct(), "vectors")
+    sure = scored.where("x is not null").join(crowd.withColumnRenamed("cls", "q"), "q", "left_anti")
+    pairs = written(sure.select(F.least("q", "x").alias("a"), F.greatest("q", "x").alias("b")).distinct(), "vectors")
+    near = _exact(pairs, rows, dim, min_cosine)
+    if not crowd.isEmpty():
+        ranked = _ranked(crowd, once, rows, members, q, dim, k, min_cosine)
+        near = near.unionByName(ranked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine")).dropDuplicates(["a", "b"])
+    near = written(near, "vectors")
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     lead = Window.partitionBy("cls").orderBy("id")
     firsts = written(members.withColumn("i", F.row_number().over(lead)).where(F.col("i") <= k + 1).select("cls", "id"), "vectors")

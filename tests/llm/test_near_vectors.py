@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tamarisk.functions.words import word_list
 from tamarisk.llm.near import SMALL, Sketch, _meet, group_pairs, near_duplicate_groups
-from tamarisk.llm.vectors import Quantiser, _pack, _unpack, most_similar, neighbour_pairs
+from tamarisk.llm.vectors import Quantiser, _best, _pack, _unpack, most_similar, neighbour_pairs
 
 import pyarrow as pa
 
@@ -157,3 +157,36 @@ def test_codes():
     assert np.allclose(small, large[:, :50], atol=1e-4)
     tiny = Quantiser(x[:3], 0.9, 6)
     assert tiny.encode(x[:3])[0].max() < 3
+
+
+def crowded(rng, n, noise):
+    """A third of all rows lie around one vector; (ids, vectors)."""
+    x = rng.standard_normal((3 * n, 64))
+    x[:n] = x[0] / np.linalg.norm(x[0]) + noise * rng.standard_normal((n, 64))
+    return rng.permutation(3 * n) + 1, x.astype(np.float32)
+
+
+def recall(spark, ids, x, **kw):
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "pid long, e array<float>")
+    got, want = {tuple(r) for r in neighbour_pairs(most_similar(df, "pid", "e", **kw)).collect()}, exact_neighbours(ids, x, 5, 0.9)
+    return len(got & want) / len(want), len(got - want) / len(want)
+
+
+@pytest.mark.parametrize("noise", [0.003, 0.03])
+def test_crowd(spark, noise):
+    """A crowd of nearly equal, but different, vectors: codes can't tell its members apart."""
+    found, wrong = recall(spark, *crowded(np.random.default_rng(7), 1500, noise))
+    print("recall", found, "wrong", wrong)
+    assert found >= 0.9 and wrong <= 0.1
+
+
+def test_best_in_blocks():
+    rng = np.random.default_rng(1)
+    u = rng.standard_normal((9500, 8))
+    u[3000:9300] = u[0] * 2  # ties, over a block's edge
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    cls = np.arange(len(u))
+    i, m = _best(u[:1100], cls[:1100], u, cls, 5, 0.5)
+    s = np.round(u[:1100] @ u.T, 12)
+    s[cls[:1100], cls[:1100]] = -2
+    assert {*zip(i, m)} == {(r, c) for r in range(1100) for c in np.argsort(-s[r], kind="stable")[:5] if s[r, c] >= 0.5}
