@@ -15,10 +15,9 @@ square, in blocks of bounded memory.
 
 Otherwise only codes travel (two longs a row); vectors are shuffled once, and only
 those of surviving pairs go on. The index depth follows the number of vectors, so
-that a cell's mean size stays under 512 and work grows in proportion to rows. Cells
-that are still too full are refined by the next level, again and again. Equal
-vectors are one class (a 64-bit hash), so copies cost nothing. Vectors that differ
-but share all of a cell's levels are compared with each other, all of them.
+that a cell's mean size stays under 512 and work grows in proportion to rows. Queries
+of cells that are still too full are compared exactly too, with every member. Equal
+vectors are one class (a 64-bit hash), so copies cost nothing.
 """
 
 from __future__ import annotations
@@ -37,7 +36,7 @@ from tamarisk.plans.materialise import written
 SIZES = (64, 64, 8, 8, 8, 8, *[64] * 10)  # words a level: the first six may be cells, so these grow in small steps
 LEVELS, LATE_BEAM = len(SIZES), 3  # 84 bits a vector
 HALF = LEVELS // 2
-FIRST_LEVELS, CELL_LEVELS = 6, 12  # 16 million cells to begin with, 2^60 after refinement
+FIRST_LEVELS = 6  # 16 million cells at most
 MEAN_CELL = 512
 WIDE = 4  # times the beam, for queries in a crowd
 
@@ -62,7 +61,7 @@ class Quantiser:
         self.books = books
         self.flat = np.concatenate(books)
         self.at = np.cumsum([0, *map(len, books)])  # where a level's words begin in flat
-        self.radix = np.cumprod([1, *SIZES[:CELL_LEVELS]])  # of cell numbers
+        self.radix = np.cumprod([1, *SIZES[:FIRST_LEVELS]])  # of cell numbers
         self.bound = self._calibrate(sample, min_cosine, rng)
 
     def _calibrate(self, sample: np.ndarray, cosine: float, rng: np.random.Generator) -> float:
@@ -171,28 +170,6 @@ def _encoded(rows: DataFrame, q: Quantiser, dim: int) -> DataFrame:
     return rows.select("id", "vec", "cls").mapInArrow(run, "id long, cls long, c1 long, c2 long, cells array<long>")
 
 
-def _refined(rows: DataFrame, q: Quantiser, depth: int) -> DataFrame:
-    """Rows of cells of ``depth`` levels to cells of one level more: a member's nearest; a query's two
-    nearest at first and its nearest from then on, so that its cells stay few."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books = q.books
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cell, member, cls, c1, c2 = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            codes, _ = _unpack(c1, c2)
-            left = q.decode(codes) - sum(books[j][(cell // q.radix[j]) % SIZES[j]] for j in range(depth))
-            cost = (books[depth] ** 2).sum(1) - 2 * left @ books[depth].T
-            order = np.argsort(cost, axis=1)[:, : 2 if depth == q.depth else 1]
-            at, rank = np.divmod(np.arange(order.size), order.shape[1])
-            keep = ~member[at] | (rank == 0)
-            at = at[keep]
-            new = cell[at] + order.ravel()[keep].astype(np.int64) * q.radix[depth]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (new, member[at], cls[at], c1[at], c2[at])], names=["cell", "member", "cls", "c1", "c2"])
-
-    return rows.mapInArrow(run, "cell long, member boolean, cls long, c1 long, c2 long")
-
-
 def _cell_pairs(rows: DataFrame, q: Quantiser, short: int) -> DataFrame:
     """(q, x): members of a query's cells that score over the bound. Of a cell with more than
     ``short`` of them only (q, null): codes can't tell a crowd apart, so ``_ranked`` takes the query.
@@ -372,18 +349,11 @@ def most_similar(vectors: DataFrame, id_col: str, vector_col: str, k: int = 5, m
     places = F.array_append(F.transform("cells", lambda c: F.struct(c.alias("cell"), F.lit(False).alias("member"))),
                             F.struct(F.col("cells")[0].alias("cell"), F.lit(True).alias("member")))
     rest = once.select(F.explode(places).alias("p"), "cls", "c1", "c2").select("p.cell", "p.member", "cls", "c1", "c2")
-    ready = []
-    for depth in range(q.depth, CELL_LEVELS + 1):  # until no cell is too full; those of the last level are left as they are
-        heads = once.select(F.col("cells")[0].alias("cell")) if depth == q.depth else rest.where("member").select("cell")
-        full = written(heads.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > full_cell).select("cell"), "vectors")
-        if depth == CELL_LEVELS or full.isEmpty():
-            ready.append(rest)
-            break
-        ready.append(rest.join(full, "cell", "left_anti").select("cell", "member", "cls", "c1", "c2"))
-        rest = written(_refined(rest.join(full, "cell", "left_semi").select("cell", "member", "cls", "c1", "c2"), q, depth), "vectors")
-    scored = _cell_pairs(ready[0], q, short)
-    for more in ready[1:]:
-        scored = scored.unionByName(_cell_pairs(more, q, short))
+    heads = once.groupBy(F.col("cells")[0].alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    full = written(heads.where(F.col("n") > full_cell).select("cell"), "vectors")
+    scored = _cell_pairs(rest.join(full, "cell", "left_anti").select("cell", "member", "cls", "c1", "c2"), q, short)
+    asks = rest.join(full, "cell", "left_semi").where("not member")  # of full cells: compared exactly, in blocks
+    scored = scored.unionByName(asks.select(F.col("cls").alias("q"), F.lit(None).cast("long").alias("x")))
     scored = written(scored, "vectors")
     crowd = written(scored.where("x is null").select(F.col("q").alias("cls")).distinct(), "vectors")
     sure = scored.where("x is not null").join(crowd.withColumnRenamed("cls", "q"), "q", "left_anti")

@@ -190,3 +190,10 @@ def test_best_in_blocks():
     s = np.round(u[:1100] @ u.T, 12)
     s[cls[:1100], cls[:1100]] = -2
     assert {*zip(i, m)} == {(r, c) for r in range(1100) for c in np.argsort(-s[r], kind="stable")[:5] if s[r, c] >= 0.5}
+
+
+def test_full_cells(spark):
+    """Cells of over full_cell members are compared whole, none of them is left out."""
+    found, wrong = recall(spark, *crowded(np.random.default_rng(8), 1500, 0.03), full_cell=40, short=2000)
+    print("recall", found, "wrong", wrong)
+    assert found >= 0.9 and wrong <= 0.1
