@@ -15,7 +15,8 @@ square, in blocks of bounded memory.
 
 Otherwise only codes travel (two longs a row); vectors are shuffled once, and only
 those of surviving pairs go on. The index depth follows the number of vectors, so
-that a cell's mean size stays under 512 and work grows in proportion to rows. Queries
+that a cell's mean size stays under 512; the beam is widened until, at that depth,
+96 of 100 of the sample's pairs at the wanted cosine meet in a cell. Queries
 of cells that are still too full are compared exactly too, with every member. Equal
 vectors are one class (a 64-bit hash), so copies cost nothing.
 """
@@ -38,6 +39,7 @@ LEVELS, LATE_BEAM = len(SIZES), 3  # 84 bits a vector
 HALF = LEVELS // 2
 FIRST_LEVELS = 6  # 16 million cells at most
 MEAN_CELL = 512
+MEET = 0.96  # share of pairs at the wanted cosine whose cells must meet
 WIDE = 4  # times the beam, for queries in a crowd
 
 
@@ -64,15 +66,30 @@ class Quantiser:
         self.radix = np.cumprod([1, *SIZES[:FIRST_LEVELS]])  # of cell numbers
         self.bound = self._calibrate(sample, min_cosine, rng)
 
-    def _calibrate(self, sample: np.ndarray, cosine: float, rng: np.random.Generator) -> float:
+    @staticmethod
+    def _pairs(sample: np.ndarray, cosine: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         x = sample[:3000].astype(np.float32)
         r = rng.standard_normal(x.shape).astype(np.float32)
         r -= (r * x).sum(1, keepdims=True) * x
         y = cosine * x + np.sqrt(max(0.0, 1 - cosine**2)) * r / np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-9)
+        return x, y
+
+    def _calibrate(self, sample: np.ndarray, cosine: float, rng: np.random.Generator) -> float:
+        x, y = self._pairs(sample, cosine, rng)
         a, b = self.decode(self.encode(x)[0]), self.decode(self.encode(y)[0])
         est = (a * b).sum(1) / np.maximum(np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1), 1e-9)
         return float(np.quantile(est, 0.02))
 
+    def widen(self, sample: np.ndarray, cosine: float, most: int = 512) -> None:
+        """The beam at this depth, at least as wide as it is, with which ``MEET`` of the sample's pairs
+        at the wanted cosine share a cell: one's nearest is in the other's beam."""
+        x, y = self._pairs(sample, cosine, np.random.default_rng(11))
+        while self.beam < most:
+            a, b = ((self.encode(v, self.depth)[1].astype(np.int64) * self.radix[: self.depth]).sum(2) for v in (x, y))
+            if ((a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)).mean() >= MEET:
+                break
+            self.beam += max(1, self.beam // 4)
+
     def encode(self, x: np.ndarray, levels: int = LEVELS, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Codes (n, levels), and the beam's codes of the first ``depth`` levels (n, beam, depth), best first."""
         n, beam = len(x), beam or self.beam
@@ -137,7 +154,7 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit(rows: DataFrame, dim: int, min_cosine: float, beam: int, sample_rows: int) -> Quantiser | None:
+def fit(rows: DataFrame, dim: int, min_cosine: float, beam: int, sample_rows: int, depth: int | None = None) -> Quantiser | None:
     """Codebooks from up to ``sample_rows`` vectors, chosen by a hash of the id."""
     n = rows.count()
     if not n:
@@ -148,9 +165,11 @@ def fit(rows: DataFrame, dim: int, min_cosine: float, beam: int, sample_rows: in
     if not got.num_rows:
         got = rows.select("cls", "vec").limit(sample_rows).toArrow().combine_chunks()
     _, first = np.unique(got.column("cls").to_numpy(), return_index=True)
-    q = Quantiser(_unit(pa.concat_arrays(got.column("vec").chunks), dim)[first], min_cosine, beam)
-    while q.depth < FIRST_LEVELS and n / q.radix[q.depth] > MEAN_CELL:
-        q.depth, q.beam = q.depth + 1, q.beam + 3  # smaller cells: look into more of them
+    sample = _unit(pa.concat_arrays(got.column("vec").chunks), dim)[first]
+    q = Quantiser(sample, min_cosine, beam)
+    while q.depth < FIRST_LEVELS and (n / q.radix[q.depth] > MEAN_CELL if depth is None else q.depth < depth):
+        q.depth += 1
+    q.widen(sample, min_cosine)  # smaller cells: look into more of them
     return q
 
 
@@ -329,18 +348,19 @@ def _ranked(crowd: DataFrame, once: DataFrame, rows: DataFrame, members: DataFra
 
 
 def most_similar(vectors: DataFrame, id_col: str, vector_col: str, k: int = 5, min_cosine: float = 0.9, dim: int = 64, beam: int = 6,
-                 sample_rows: int = 20_000, full_cell: int = 16_384, short: int = 48) -> DataFrame:
+                 sample_rows: int = 20_000, full_cell: int = 16_384, short: int = 48, depth: int | None = None) -> DataFrame:
     """(id, other, cosine, place): the up to k most similar others of every id, among those
     at or over ``min_cosine``; equal cosines in the order of the ids.
 
     Vectors that are null, of another length, all zero or hold a null or a non-finite
     entry are unusable; an id counts once (of differing usable vectors the one with
     the smallest hash). Copies have cosine 1. An empty table gives an empty result.
-    Every usable vector is indexed and asks; the index is fitted on ``sample_rows``.
+    Every usable vector is indexed and asks; the index is fitted on ``sample_rows``, and
+    has the ``depth`` their number asks for unless one is given.
     """
     rows = usable(vectors, id_col, vector_col, dim)
     none = rows.select("id", F.col("id").alias("other"), F.lit(0.0).alias("cosine"), F.lit(0).alias("place")).where("false")
-    q = fit(rows, dim, min_cosine, beam, sample_rows)
+    q = fit(rows, dim, min_cosine, beam, sample_rows, depth)
     if q is None:
         return none
     coded = written(_encoded(rows, q, dim), "vectors")

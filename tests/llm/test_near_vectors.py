@@ -197,3 +197,17 @@ def test_full_cells(spark):
     found, wrong = recall(spark, *crowded(np.random.default_rng(8), 1500, 0.03), full_cell=40, short=2000)
     print("recall", found, "wrong", wrong)
     assert found >= 0.9 and wrong <= 0.1
+
+
+@pytest.mark.parametrize("depth", [3, 4])
+def test_depth(spark, depth):
+    """The deeper indexes of large tables find pairs that are right at the wanted cosine."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((2400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    r = rng.standard_normal((1200, 64))
+    r -= (r * x[:1200]).sum(1, keepdims=True) * x[:1200]
+    x[1200:] = 0.91 * x[:1200] + (1 - 0.91**2) ** 0.5 * r / np.linalg.norm(r, axis=1, keepdims=True)
+    found, wrong = recall(spark, np.arange(2400), x.astype(np.float32), depth=depth)
+    print("recall", found)
+    assert found >= 0.9 and wrong == 0
