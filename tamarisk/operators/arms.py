@@ -106,8 +106,9 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = 100, block: int = 102
 
 def dense_ann(queries: DataFrame, vectors: DataFrame, k: int = 100, min_cosine: float = 0.8, tables: int = 12, width: float = 0.6, seed: int = 1) -> DataFrame:
     """Approximate nearest: random-projection buckets (Datar et al., SoCG 2004) propose, the exact
-    cosine ranks. Only neighbours at or over ``min_cosine`` are looked for; with its
-    defaults nine of ten of those are found. Each row is hashed ``tables`` times, so
+    cosine ranks. Buckets find neighbours at or over ``min_cosine``, with the defaults
+    nine of ten of them; a query with fewer than k such hits is ranked exactly against
+    all vectors (``dense``), so each has its k. Each row is hashed ``tables`` times, so
     the join's input is that many rows a vector, whatever the number of queries.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -120,8 +121,11 @@ def dense_ann(queries: DataFrame, vectors: DataFrame, k: int = 100, min_cosine:
         return queries.sparkSession.createDataFrame([], HIT)
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(x)
     met = model.approxSimilarityJoin(q, x, (2 - 2 * min_cosine) ** 0.5 + 1e-9, "d")
-    return top(met.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("passage_id"),
-                          F.round(1 - F.col("d") * F.col("d") / 2, 6).alias("score")), k)
+    found = written(top(met.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("passage_id"),
+                                   F.round(1 - F.col("d") * F.col("d") / 2, 6).alias("score")), k), "ann")
+    done = written(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id"), "ann")
+    rest = dense(queries.join(done.withColumnRenamed("query_id", "id"), "id", "left_anti"), vectors, k)
+    return found.join(done, "query_id", "left_semi").select(*rest.columns).unionByName(rest)
 
 
 def fuse(runs: dict[str, DataFrame], k: int = 100, rrf_k: int = 60, weights: dict[str, float] | None = None) -> DataFrame:

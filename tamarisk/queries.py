@@ -329,7 +329,7 @@ sql("dense_topk", dense_cte(K_FTS), body="SELECT query_id, passage_id, score, ra
 
 @query
 def ann_lsh(spark, d):
-    """The approximate option: neighbours at or over cosine 0.8."""
+    """The approximate option: buckets where they give the k, exact otherwise."""
     v = _vectors(spark, d)
     return arms.dense_ann(v.where("id % 100 = 0"), v, K_FTS)
 

@@ -82,6 +82,17 @@ def test_ann_recall(spark):
     assert arms.dense_ann(v.where("false"), v, 5).count() == 0
 
 
+def test_ann_finds_all_k(spark):
+    """The k nearest come out however far they lie."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((400, 64))
+    x[:60] = x[0] + 0.2 * rng.standard_normal((60, 64))  # these have their ten over 0.8, the others don't
+    v = arms.unit_vectors(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i long, v array<double>"), "i", "v")
+    pairs = lambda df: {(r.query_id, r.passage_id) for r in df.collect()}
+    want, got = pairs(arms.dense(v, v, 10)), pairs(arms.dense_ann(v, v, 10))
+    assert len(got) == 4000 and len(want & got) >= 0.9 * len(want)
+
+
 def test_embedding_resumes(spark):
     p = spark.createDataFrame([(1, "a b"), (2, "c"), (3, None), (4, "")], "passage_id long, text string")
     have = spark.createDataFrame([(2, [1.0])], "id long, vec array<float>")
