@@ -91,3 +91,13 @@ def test_counts_and_deltas(spark, tmp_path):
 def test_both_marks(spark):
     t = term_table(merge_counts(None, term_deltas(signed_changes(None, spark.createDataFrame([(1, "only")], "id long, text string")))))
     assert {tuple(r) for r in marks(t).collect()} == {("only", "rare"), ("only", "common")}
+
+
+def test_own_times_go_first(spark):
+    """What is seen more often elsewhere doesn't overrule a group's own timestamps."""
+    rows = []
+    for g in range(3):
+        rows += [doc(10 * g + 1, None, day=1, journal="A"), doc(10 * g + 2, 10 * g + 1, day=2, journal="B")]
+    rows += [doc(91, None, day=1, journal="B"), doc(92, 91, day=2, journal="A")]
+    got = {r.group_id: r.current_journal for r in best_representatives(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {1: "B", 11: "B", 21: "B", 91: "A"}
