@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tamarisk.functions.words import word_list
 from tamarisk.llm.near import SMALL, Sketch, _meet, group_pairs, near_duplicate_groups
-from tamarisk.llm.vectors import Quantiser, _best, _pack, _unpack, most_similar, neighbour_pairs
+from tamarisk.llm.vectors import LEVELS, Quantiser, _best, _pack, _unpack, most_similar, neighbour_pairs
 
 import pyarrow as pa
 
@@ -124,7 +124,7 @@ def test_recall(spark, full_cell):
     rows = [(int(i), v.tolist()) for i, v in zip(ids, x)] + [(int(ids[0]), x[0].tolist()), (int(ids[1]), None)]
     rows += [(9001, None), (9002, [1.0] * 32), (9003, [0.0] * 64), (9004, [float("nan")] * 64), (9005, [1.0] * 63 + [None]), (9006, [float("inf")] * 64), (None, x[0].tolist())]
     df = spark.createDataFrame(rows, "pid long, e array<float>").withColumns({"id": F.lit(1), "vec": F.lit(2), "cls": F.lit(3)})
-    found = most_similar(df, "pid", "e", full_cell=full_cell)
+    found = most_similar(df, "pid", "e", min_cosine=0.9, full_cell=full_cell)
     got, want = {tuple(r) for r in neighbour_pairs(found).collect()}, exact_neighbours(ids, x, 5, 0.9)
     assert len(got & want) >= 0.95 * len(want)
     assert len(got - want) <= 0.02 * len(want)
@@ -138,7 +138,7 @@ def test_copies(spark):
     x = rng.standard_normal((300, 64)).astype(np.float32)
     rows = [(i, x[0].tolist()) for i in range(150)] + [(1000 + i, v.tolist()) for i, v in enumerate(x[1:])]
     got = {}
-    for r in most_similar(spark.createDataFrame(rows, "i long, v array<float>"), "i", "v").collect():
+    for r in most_similar(spark.createDataFrame(rows, "i long, v array<float>"), "i", "v", min_cosine=0.9).collect():
         got.setdefault(r.id, []).append((r.place, r.other))
     assert set(got) == set(range(150))
     assert all([o for _, o in sorted(m)] == [j for j in range(6) if j != i][:5] for i, m in got.items())
@@ -153,8 +153,13 @@ def test_codes():
     c, n = _unpack(*_pack(codes, np.linalg.norm(q.decode(codes), axis=1)))
     assert np.array_equal(c, codes) and np.allclose(n, np.linalg.norm(q.decode(codes), axis=1), atol=1e-4)
     assert np.linalg.norm(x - q.decode(codes), axis=1).mean() < 0.5 and beam.shape == (500, 6, 2)
-    small, large = q.scores(codes[:5], codes[:50]), q.scores(codes[:5], np.concatenate([codes] * 2))
-    assert np.allclose(small, large[:, :50], atol=1e-4)
+    # every estimate is a sum of table entries, and equals the product of the decoded vectors
+    places, want = q.places(codes[:50]), q.decode(codes[:7]) @ q.decode(codes[:50]).T
+    table = q.table(q.decode(codes[:7]))
+    row, member = np.repeat(np.arange(7), 50), np.tile(np.arange(50), 7)
+    assert places.shape == (LEVELS, 50) and table.shape == (7, len(q.flat))
+    assert np.allclose(q.pair_scores(table, row, places, member).reshape(7, 50), want, atol=1e-4)
+    assert np.allclose(q.block_scores(table, places), want, atol=1e-4)
     tiny = Quantiser(x[:3], 0.9, 6)
     assert tiny.encode(x[:3])[0].max() < 3
 
@@ -168,7 +173,7 @@ def crowded(rng, n, noise):
 
 def recall(spark, ids, x, **kw):
     df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "pid long, e array<float>")
-    got, want = {tuple(r) for r in neighbour_pairs(most_similar(df, "pid", "e", **kw)).collect()}, exact_neighbours(ids, x, 5, 0.9)
+    got, want = {tuple(r) for r in neighbour_pairs(most_similar(df, "pid", "e", min_cosine=0.9, **kw)).collect()}, exact_neighbours(ids, x, 5, 0.9)
     return len(got & want) / len(want), len(got - want) / len(want)
 
 
@@ -180,6 +185,48 @@ def test_crowd(spark, noise):
     assert found >= 0.9 and wrong <= 0.1
 
 
+def test_every_vector_gets_its_k(spark):
+    """No floor: k rows for every vector, near or not, by tables; a third of all rows nearly equal."""
+    rng = np.random.default_rng(12)
+    ids, x = crowded(rng, 1000, 0.02)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "pid long, e array<float>")
+    rows = most_similar(df, "pid", "e", scan_block=700).collect()
+    got, want = {(r.id, r.other) for r in rows}, set()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = np.round(u @ u.T, 12)
+    np.fill_diagonal(s, -2)
+    for i in range(len(ids)):
+        want |= {(int(ids[i]), int(ids[j])) for j in np.lexsort((ids, -s[i]))[:5]}
+    assert len(rows) == 5 * len(ids) and len(got & want) >= 0.95 * len(want)
+    few = most_similar(df, "pid", "e", queries=F.col("id") % 100 == 0)
+    assert {(r.id, r.other) for r in few.collect()} <= got | want and few.select("id").distinct().count() == 30
+    assert most_similar(df.limit(3), "pid", "e").count() == 6
+    assert most_similar(df.where("false"), "pid", "e").count() == 0
+
+
+def test_scan_against_all():
+    """Tables leave most rows out, and lose next to none of the nearest."""
+    rng = np.random.default_rng(6)
+    u = rng.standard_normal((9000, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    q = Quantiser(u[:4000], 0.9, 6)
+    q.error = q.slack(u[:4000])
+    codes = q.encode(u.astype(np.float32))[0]
+    cls = np.arange(len(u))
+    i, m = _best(u[:600], cls[:600], u, cls, 5, -2.0, q, codes, np.linalg.norm(q.decode(codes), axis=1))
+    s = u[:600] @ u.T
+    s[cls[:600], cls[:600]] = -2
+    want = {(r, c) for r in range(600) for c in np.argsort(-s[r], kind="stable")[:5]}
+    assert len({*zip(i, m)} & want) >= 0.97 * len(want) and len(i) == 3000
+
+
+def test_hot_cells_are_split(spark):
+    """A cell whose queries and members are too many for a task is spread by salts."""
+    ids, x = crowded(np.random.default_rng(9), 700, 0.03)
+    split, whole = (recall(spark, ids, x, task_pairs=n, short=3000) for n in (500, 2_000_000_000))
+    assert split == whole and split[0] >= 0.9
+
+
 def test_best_in_blocks():
     rng = np.random.default_rng(1)
     u = rng.standard_normal((9500, 8))
