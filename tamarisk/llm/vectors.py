@@ -239,9 +239,28 @@ def _cell_pairs(rows: DataFrame, q: Quantiser, short: int) -> DataFrame:
     ``_ranked`` takes the query.
 
     A cell's members come before its queries, so only the open cell's members are held (under
-    ``full_cell``); queries are scored as they come, about a million pairs at a time.
+    ``full_cell``); queries are scored as they come, about a million pairs at a time: those
+    of a cell with many together, by whole rows of the tables, the others entry by entry.
     """
-    pairs_at_once, queries_at_once = 1_000_000, 2048
+    pairs_at_once, queries_at_once, many_queries = 1_000_000, 2048, 32
+
+    def found(row: np.ndarray, member: np.ndarray, cls_q: np.ndarray, cls_m: np.ndarray) -> Iterator[pa.RecordBatch]:
+        other = cls_q[row] != cls_m[member]
+        row, member = row[other], member[other]
+        crowd = np.bincount(row, minlength=len(cls_q)) > short
+        fine, lost = ~crowd[row], cls_q[crowd]
+        if fine.any() or len(lost):
+            x = pa.chunked_array([pa.array(cls_m[member[fine]]), pa.nulls(len(lost), pa.int64())]).combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([cls_q[row[fine]], lost])), x], names=["q", "x"])
+
+    def block(cls_q: np.ndarray, codes: np.ndarray, norm: np.ndarray, cls_m: np.ndarray, places: np.ndarray, norm_m: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Queries of one cell with all its members."""
+        step = max(1, min(1024, 4 * pairs_at_once // len(cls_m)))
+        for lo in range(0, len(cls_q), step):
+            s = q.block_scores(q.table(q.decode(codes[lo : lo + step])), places).T
+            s /= np.maximum(norm_m, 1e-9)[:, None]
+            member, row = np.nonzero(s >= (q.bound * norm[lo : lo + step])[None])
+            yield from found(row, member, cls_q[lo : lo + step], cls_m)
 
     def score(first: np.ndarray, size: np.ndarray, cls_q: np.ndarray, codes: np.ndarray, norm: np.ndarray,
               cls_m: np.ndarray, places: np.ndarray, norm_m: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -254,13 +273,8 @@ def _cell_pairs(rows: DataFrame, q: Quantiser, short: int) -> DataFrame:
             row = np.repeat(np.arange(hi - lo), n)
             member = np.arange(len(row)) - np.repeat(upto[lo:hi] - upto[lo] - first[lo:hi], n)
             s = q.pair_scores(q.table(q.decode(codes[lo:hi])), row, places, member)
-            over = (s >= q.bound * np.maximum(norm[lo:hi][row] * norm_m[member], 1e-9)) & (cls_q[lo:hi][row] != cls_m[member])
-            row, member = row[over], member[over]
-            crowd = np.bincount(row, minlength=hi - lo) > short
-            fine, many = ~crowd[row], cls_q[lo:hi][crowd]
-            if fine.any() or len(many):
-                x = pa.chunked_array([pa.array(cls_m[member[fine]]), pa.nulls(len(many), pa.int64())]).combine_chunks()
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([cls_q[lo:hi][row[fine]], many])), x], names=["q", "x"])
+            over = s >= q.bound * np.maximum(norm[lo:hi][row] * norm_m[member], 1e-9)
+            yield from found(row[over], member[over], cls_q[lo:hi], cls_m)
             lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +300,12 @@ def _cell_pairs(rows: DataFrame, q: Quantiser, short: int) -> DataFrame:
             o, seg = o[some], seg[some]
             if len(o):
                 (codes, norm), (mc, mn) = _unpack(c1[o], c2[o]), _unpack(members[1], members[2])
-                yield from score(starts[seg], size[seg], cls[o], codes, norm, members[0], q.places(mc), mn)
+                places, asks = q.places(mc), np.bincount(seg, minlength=len(starts))
+                for x in np.flatnonzero(asks >= many_queries):
+                    at, of = slice(*np.searchsorted(seg, [x, x + 1])), slice(starts[x], starts[x] + size[x])
+                    yield from block(cls[o[at]], codes[at], norm[at], members[0][of], places[:, of], mn[of])
+                few = asks[seg] < many_queries
+                yield from score(starts[seg[few]], size[seg[few]], cls[o[few]], codes[few], norm[few], members[0], places, mn)
             key, last = (cell[-1], salt[-1]), starts[-1]
             held = [x[last:] for x in members]
 
