@@ -9,6 +9,10 @@ import os
 from dataclasses import dataclass, field, fields
 
 ENV = "TAMARISK_"
+RETRIEVAL = (  # what the arms read; the rest changes no ranking
+    "embed_dim", "query_prefix", "fts_depth", "dense_depth", "rrf_k", "rerank_depth", "rrf_weighted", "rrf_weights", "analyzer", "or_semantics",
+    "prune_common", "max_df", "min_terms", "window", "stride", "min_chars", "max_chars",
+)
 
 
 @dataclass(frozen=True)
@@ -24,6 +28,7 @@ class Settings:
     rerank_depth: int = 100
     rrf_weighted: bool = True
     rrf_weights: dict[str, float] = field(default_factory=lambda: {"fts": 0.5, "dense": 1.0})
+    analyzer: str = "plain"  # or "english": stop words left out, the rest stemmed
     or_semantics: bool = True
     prune_common: bool = True
     max_df: float = 0.05
@@ -63,6 +68,7 @@ class Settings:
         return dict(self.rrf_weights) if self.rrf_weighted else {}
 
     def fingerprint(self) -> str:
-        """Changes whenever retrieval would: stored beside a model to detect a stale one."""
-        body = json.dumps(dataclasses.asdict(self), sort_keys=True)
+        """Changes whenever retrieval would, and only then: stored beside a model to detect a stale one."""
+        mine = dataclasses.asdict(self)
+        body = json.dumps({name: mine[name] for name in RETRIEVAL}, sort_keys=True)
         return hashlib.sha256(body.encode()).hexdigest()

@@ -7,6 +7,7 @@ sequences before a suffix. The tables are the published ones.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -26,6 +27,14 @@ STEP4 = (
     "ous", "ive", "ize",
 )
 
+# The usual English stop words.
+STOP_WORDS = tuple(
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself "
+    "they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having "
+    "do does did doing a an the and but if or because as until while of at by for with about against between into through during before "
+    "after above below to from up down in out on off over under again further then once here there when where why how all any both each "
+    "few more most other some such no nor not only own same so than too very s t can will just don should now".split())
+
 
 def _shape(stem: str) -> str:
     """The stem as v and c; y is a vowel after a consonant."""
@@ -85,3 +94,15 @@ def porter(word: str) -> str:
 def stem(token: Column) -> Column:
     """Apply to a vocabulary (distinct tokens) and join back, not to every occurrence."""
     return F.pandas_udf(lambda s: pd.Series([None if t is None else porter(t) for t in s], dtype="object"), StringType())(token)
+
+
+@lru_cache(maxsize=200_000)
+def english_lexeme(word: str) -> str | None:
+    return None if word in STOP_WORDS else porter(word)
+
+
+def analyser(name: str) -> Callable[[str], str | None]:
+    """A word's lexeme, None for a word that isn't indexed: 'plain' keeps words as they are."""
+    if name not in ("plain", "english"):
+        raise ValueError(f"no such analyzer: {name!r}")
+    return english_lexeme if name == "english" else str

@@ -21,6 +21,9 @@ ABBREVIATIONS = (
 # Fixed value: [12], [3,4], (Smith et al., 2020)
 CITATION_MARK = r"\[\d+(?:\s*[,-]\s*\d+)*\]|\([A-Z][A-Za-z]+ et al\.?,? \d{4}\)"
 
+# Fixed value: a sentence may end before a capital, a digit or an opening bracket.
+SENTENCE_BOUNDARY = r"(?<=[.!?]) (?=[A-Z0-9(\[])"
+
 _CUT = "\x01"  # stands between sentences while they are put together
 
 
@@ -42,6 +45,11 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([A-Za-z0-9]+)"), 1), F.lower)
 
 
+def plain_query(text: Column) -> Column:
+    """Prose as a query: its words, so that no mark in it is read as an operator."""
+    return F.array_join(tokens(text), " ")
+
+
 def title_key(title: Column) -> Column:
     """Letters and digits only, lower-cased after anything else is removed."""
     return F.lower(F.regexp_replace(title, "[^A-Za-z0-9]", ""))
@@ -67,7 +75,7 @@ def _unfinished(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """array<string>: cut after . ! ? before a capital, digit or bracket, unless the
     stop belongs to an abbreviation. Empty for a null or blank text."""
-    parts = F.split(collapse_space(F.coalesce(text, F.lit(""))), r"(?<=[.!?]) (?=[A-Z0-9(\[])")
+    parts = F.split(collapse_space(F.coalesce(text, F.lit(""))), SENTENCE_BOUNDARY)
     joined = F.aggregate(
         parts, F.lit(""), lambda acc, p: F.when(acc == "", p).otherwise(
             F.concat(acc, F.when(_unfinished(acc), F.lit(" ")).otherwise(F.lit(_CUT)), p)))

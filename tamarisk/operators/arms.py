@@ -9,14 +9,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tamarisk.config import Settings
+from tamarisk.functions.stem import analyser
 from tamarisk.functions.text import tokens
-from tamarisk.operators.cover import WEIGHT
+from tamarisk.operators import tsquery
+from tamarisk.operators.corpus import english
+from tamarisk.operators.cover import WEIGHT, cover_score
 from tamarisk.plans.materialise import written
 
 ARMS = ("fts", "dense", "hybrid", "hybrid_rerank")
@@ -29,11 +33,17 @@ def top(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataF
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+GRAMMAR = r'"|(?<!\S)-\S'  # a phrase or a negation; anything else is a bag of words
+OR = r"(?i)(?<!\S)or(?!\S)"
+
+
 def query_terms(queries: DataFrame, stats: DataFrame, s: Settings = Settings(), query_col: str = "query_text") -> DataFrame:
-    """(query_id, lexeme) to run: distinct tokens, without those too common, but with the
-    rarest of them where fewer than min_terms would be left."""
-    words = queries.select("query_id", F.posexplode(tokens(F.col(query_col))).alias("pos", "lexeme")).groupBy("query_id", "lexeme").agg(
-        F.min("pos").alias("pos"))
+    """(query_id, lexeme) to run for plain queries: distinct tokens, without those too common, but
+    with the rarest of them where fewer than min_terms would be left. ``or`` is no word."""
+    said = queries.select("query_id", F.posexplode(tokens(F.regexp_replace(query_col, OR, " "))).alias("pos", "lexeme"))
+    if s.analyzer == "english":
+        said = english(said, "query_id")
+    words = said.groupBy("query_id", "lexeme").agg(F.min("pos").alias("pos"))
     if not s.prune_common:
         return words.select("query_id", "lexeme")
     known = words.join(stats.where(F.col("df_frac") > F.lit(float(s.max_df))).select("lexeme", "ndoc"), "lexeme", "left")
@@ -44,16 +54,74 @@ def query_terms(queries: DataFrame, stats: DataFrame, s: Settings = Settings(),
         F.col("ndoc").isNull() | (F.col("_place") <= F.lit(s.min_terms) - F.col("_rare"))).select("query_id", "lexeme")
 
 
-def lexical(queries: DataFrame, passages: DataFrame, stats: DataFrame, k: int = 100, s: Settings = Settings(), query_col: str = "query_text") -> DataFrame:
-    """Disjunctive cover density: r = 0.1 per matching word, score r / (1 + r), to 6 places.
+def query_plans(queries: DataFrame, stats: DataFrame, s: Settings = Settings(), query_col: str = "query_text") -> DataFrame:
+    """(query_id, kind, tree, wanted, banned): queries parsed by the web grammar and rewritten (see
+    ``tsquery``). Of the statistics a query sees its own too common words only."""
+    prune = s.or_semantics and s.prune_common
+    words = queries.select("query_id", F.explode(tokens(F.col(query_col))).alias("lexeme")).distinct()
+    if s.analyzer == "english":
+        words = english(words, "query_id").distinct()
+    common = words.join(stats.where(F.col("df_frac") > F.lit(float(s.max_df))).select("lexeme", "ndoc"), "lexeme").groupBy("query_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("lexeme", "ndoc"))).alias("common"))  # as long as the query at most
+    rows = queries.select("query_id", F.col(query_col).alias("text"))
+    rows = rows.join(common, "query_id", "left") if prune else rows.withColumn("common", F.lit(None).cast("map<string,long>"))
+    semantics, least, analyse = s.or_semantics, s.min_terms, analyser(s.analyzer)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, text, held in zip(b["query_id"], b["text"], b["common"], strict=True):
+                p = tsquery.plan(tsquery.rewrite(tsquery.from_web(text, analyse), semantics, dict(held or {}), least))
+                out.append((i, p.kind, p.text, list(p.wanted), list(p.banned)))
+            yield pd.DataFrame(out, columns=["query_id", "kind", "tree", "wanted", "banned"])
+
+    return rows.select("query_id", "text", "common").mapInPandas(run, "query_id long, kind string, tree string, wanted array<string>, banned array<string>")
+
+
+def lexical(queries: DataFrame, passages: DataFrame, stats: DataFrame, k: int = 100, s: Settings = Settings(), query_col: str = "query_text",
+            postings: DataFrame | None = None) -> DataFrame:
+    """The lexical arm: the web grammar, ranked by cover density r / (1 + r), to 6 places.
 
-    Only words some query asks for leave the scan's stage. Blank queries and
-    queries of unknown words have no hits.
+    By default a query matches a passage with any of its operands (words and "phrases") and
+    none of its ``-`` ones; without ``or_semantics`` all operands must be there. Blank queries,
+    those of unknown words and those of negations only have no hits; neither has a null.
+
+    A bag of words is r = 0.1 per matching word, so it is a count over the postings, of
+    which only words that some query asks for leave the scan's stage; negated words take
+    matches away by an anti-join. Only queries with a phrase, or whose operands must all
+    match, read texts, and of those only the ones that hold a wanted word.
     """
-    terms = query_terms(queries, stats, s, query_col)
-    seen = passages.select("passage_id", F.explode(tokens(F.col("text"))).alias("lexeme"))
-    hits = seen.join(terms, "lexeme").groupBy("query_id", "passage_id").agg((F.count(F.lit(1)) * F.lit(WEIGHT)).alias("r"))
-    return top(hits.select("query_id", "passage_id", F.round(F.col("r") / (1 + F.col("r")), 6).alias("score")), k)
+    if postings is None:
+        postings = passages.select("passage_id", F.explode(tokens(F.col("text"))).alias("lexeme")).withColumn("tf", F.lit(1))
+        if s.analyzer == "english":
+            postings = english(postings, "passage_id")
+    marked = F.coalesce(F.col(query_col).rlike(GRAMMAR), F.lit(False)) if s.or_semantics else F.lit(True)
+    complex_ = queries.where(marked)
+    said = complex_.isEmpty()
+    terms = query_terms(queries.where(~marked), stats, s, query_col)
+    if not said:
+        plans = written(query_plans(complex_, stats, s, query_col), "plans")
+        bags = plans.where("kind = 'bag'")
+        terms = terms.unionByName(bags.select("query_id", F.explode("wanted").alias("lexeme")))
+    hits = postings.join(terms, "lexeme").groupBy("query_id", "passage_id").agg((F.sum("tf") * F.lit(WEIGHT)).alias("r"))
+    if not said:
+        banned = postings.select("passage_id", "lexeme").join(bags.select("query_id", F.explode("banned").alias("lexeme")), "lexeme")
+        hits = hits.join(banned.select("query_id", "passage_id").distinct(), ["query_id", "passage_id"], "left_anti")
+    scored = hits.select("query_id", "passage_id", F.round(F.col("r") / (1 + F.col("r")), 6).alias("score"))
+    if not said:
+        scored = scored.unionByName(_by_covers(plans.where("kind = 'tree'"), passages, postings, s))
+    return top(scored, k)
+
+
+def _by_covers(plans: DataFrame, passages: DataFrame, postings: DataFrame, s: Settings) -> DataFrame:
+    """(query_id, passage_id, score) of queries that need the places of words."""
+    some = postings.select("passage_id", "lexeme").join(plans.select("query_id", F.explode("wanted").alias("lexeme")), "lexeme").select(
+        "query_id", "passage_id").distinct()
+    any_word = plans.where(F.size("wanted") == 0).select("query_id")  # only a prefix: every passage may match
+    if not any_word.isEmpty():
+        some = some.unionByName(any_word.crossJoin(passages.select("passage_id")))
+    texts = some.join(passages.select("passage_id", tokens(F.col("text")).alias("toks")), "passage_id").join(plans.select("query_id", "tree"), "query_id")
+    return texts.select("query_id", "passage_id", F.round(cover_score(F.col("tree"), F.col("toks"), s.analyzer), 6).alias("score")).where("score > 0")
 
 
 def unit_vectors(rows: DataFrame, id_col: str, vector_col: str, dim: int = 64) -> DataFrame:
@@ -65,42 +133,53 @@ def unit_vectors(rows: DataFrame, id_col: str, vector_col: str, dim: int = 64) -
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """Rows of up to ``size`` vectors: (ids binary, vecs binary), unit length."""
+    """Rows of up to ``size`` vectors in single precision, as they are stored: (ids binary, vecs binary)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, size):
                 part = b.slice(k, size)
-                x = part.column(1).flatten().to_numpy().astype(np.float64).reshape(part.num_rows, -1)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = part.column(1).flatten().to_numpy().astype(np.float32)
                 ids = part.column(0).to_numpy().astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["ids", "vecs"])
 
     return rows.mapInArrow(run, "ids binary, vecs binary")
 
 
+def _unpacked(ids: bytes, vecs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of unit length, in double precision."""
+    i = np.frombuffer(ids, np.int64)
+    x = np.frombuffer(vecs, np.float32).reshape(len(i), -1).astype(np.float64)
+    return i, x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def dense(queries: DataFrame, vectors: DataFrame, k: int = 100, block: int = 1024) -> DataFrame:
     """Exact nearest by cosine (double, to 6 places), for (id, vec) queries and vectors.
 
-    Queries go in blocks, which meet packed chunks of the vectors by an equi-join on
-    the block; each chunk keeps its k best a query before anything is shuffled.
+    Queries go in blocks, vectors in chunks. Each query block is laid out once per salt, and a
+    chunk goes to one salt of every block, so tasks are blocks times salts: the work spreads
+    whatever the number of blocks, and no task holds more than its share of the chunks. The
+    planner broadcasts the query blocks only while they are under its size limit. A chunk keeps
+    its k best a query before anything is shuffled.
     """
+    spark = queries.sparkSession
     asked = written(_packed(queries, block).withColumn("block", F.xxhash64("ids")), "dense")
     blocks = [r.block for r in asked.select("block").distinct().collect()]  # one number a thousand queries
     if not blocks:
-        return queries.sparkSession.createDataFrame([], HIT)
+        return spark.createDataFrame([], HIT)
+    salts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // len(blocks)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for qi, qv, xi, xv in zip(*(b.column(c).to_pylist() for c in ("qids", "qvecs", "ids", "vecs")), strict=True):
-                q_ids, x_ids = np.frombuffer(qi, np.int64), np.frombuffer(xi, np.int64)
-                q, x = np.frombuffer(qv).reshape(len(q_ids), -1), np.frombuffer(xv).reshape(len(x_ids), -1)
+                (q_ids, q), (x_ids, x) = _unpacked(qi, qv), _unpacked(xi, xv)
                 s = np.round(q @ x.T, 6) + 0.0
                 keep = np.ones_like(s, dtype=bool) if s.shape[1] <= k else s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
                 i, j = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(x_ids[j]), pa.array(s[i, j])], names=["query_id", "passage_id", "score"])
 
-    chunks = _packed(vectors, 4096).withColumn("block", F.explode(F.array(*map(F.lit, blocks))))
-    met = chunks.join(asked.withColumnsRenamed({"ids": "qids", "vecs": "qvecs"}), "block").select("qids", "qvecs", "ids", "vecs")
+    chunks = _packed(vectors, 4096).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts))).withColumn("block", F.explode(F.array(*map(F.lit, blocks))))
+    spread = asked.withColumnsRenamed({"ids": "qids", "vecs": "qvecs"}).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    met = chunks.join(spread, ["block", "salt"]).select("qids", "qvecs", "ids", "vecs")
     return top(met.mapInArrow(run, "query_id long, passage_id long, score double"), k)
 
 
@@ -173,3 +252,12 @@ def check_arm(arm: str) -> str:
     if arm not in ARMS:
         raise ValueError(f"no such arm: {arm!r}; there are {', '.join(ARMS)}")
     return arm
+
+
+def check_search(text: str, arm: str, k: int) -> None:
+    """The limits of an interactive search: 1 to 1,000 characters, 1 to 100 hits, a known arm."""
+    check_arm(arm)
+    if not isinstance(text, str) or not 1 <= len(text) <= 1000:
+        raise ValueError("a query has 1 to 1,000 characters")
+    if isinstance(k, bool) or not isinstance(k, int) or not 1 <= k <= 100:
+        raise ValueError("k is a whole number from 1 to 100")

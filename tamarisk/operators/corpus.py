@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk.config import Settings
-from tamarisk.functions.stem import stem
+from tamarisk.functions.stem import STOP_WORDS, stem
 from tamarisk.functions.text import fold_tail, head_passage, sentences, title_key, tokens, windows_of
 
 
@@ -14,9 +14,13 @@ def unique_passages(passages: DataFrame) -> DataFrame:
     """(passage_id, doc_id, ordinal, section, text): a passage delivered again counts once.
 
     The smallest row wins, so the result doesn't depend on order; a null id is no passage.
+    Only ids are shuffled, and the rows of those that repeat: the other texts stay where they are.
     """
-    row = F.struct("doc_id", "ordinal", "section", "text")
-    return passages.where("passage_id is not null").groupBy("passage_id").agg(F.min(row).alias("r")).select("passage_id", "r.*")
+    cols = ("doc_id", "ordinal", "section", "text")
+    rows = passages.select("passage_id", *cols).where("passage_id is not null")
+    again = rows.groupBy("passage_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("passage_id")
+    merged = rows.join(again, "passage_id", "left_semi").groupBy("passage_id").agg(F.min(F.struct(*cols)).alias("r")).select("passage_id", "r.*")
+    return rows.join(again, "passage_id", "left_anti").unionByName(merged)
 
 
 def chunk_documents(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -46,21 +50,45 @@ def positions(passages: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
 
 
+def english(raw: DataFrame, *more: str) -> DataFrame:
+    """Rows with a ``lexeme`` without those of stop words, the others stemmed: each distinct
+    word once, then joined back."""
+    words = raw.select("lexeme").distinct().where(~F.col("lexeme").isin(*STOP_WORDS)).select("lexeme", stem(F.col("lexeme")).alias("stemmed"))
+    return raw.join(words, "lexeme").select(*more, F.col("stemmed").alias("lexeme"), *[c for c in raw.columns if c not in (*more, "lexeme")])
+
+
 def stemmed_postings(passages: DataFrame) -> DataFrame:
-    """As postings, with each distinct token stemmed once and joined back."""
-    raw = postings(passages)
-    words = raw.select("lexeme").distinct().select("lexeme", stem(F.col("lexeme")).alias("stemmed"))
-    return raw.join(words, "lexeme").groupBy("passage_id", F.col("stemmed").alias("lexeme")).agg(F.sum("tf").alias("tf"))
+    """As postings, by the English analysis: stop words left out, the other tokens stemmed."""
+    return english(postings(passages), "passage_id").groupBy("passage_id", "lexeme").agg(F.sum("tf").alias("tf"))
+
+
+def english_vectors(passages: DataFrame) -> DataFrame:
+    """(passage_id, lexeme, positions): stems with their places, 1-based, ascending; stop words
+    have none but are counted."""
+    return english(positions(passages), "passage_id").groupBy("passage_id", "lexeme").agg(
+        F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
 def lexeme_statistics(passages: DataFrame) -> DataFrame:
     """(lexeme, ndoc, nentry, df_frac): df_frac is single precision, of all passages, those
-    without tokens among them. An empty corpus gives an empty table."""
-    total = F.lit(passages.count())
-    return postings(passages).groupBy("lexeme").agg(F.count(F.lit(1)).alias("ndoc"), F.sum("tf").alias("nentry")).select(
+    without tokens among them. An empty corpus gives an empty table.
+
+    A passage's words are sorted where they are read, so the first of each counts it once and
+    one aggregate, combined before the shuffle, gives both counts."""
+    total = F.lit(passages.select("passage_id").count())
+    each = passages.select(F.sort_array(tokens(F.col("text"))).alias("ws"))
+    first = each.select(F.explode(F.transform("ws", lambda w, i: F.struct(
+        w.alias("lexeme"), ((i == 0) | (F.get("ws", i - 1) != w)).cast("int").alias("first")))).alias("x")).select("x.*")
+    return first.groupBy("lexeme").agg(F.sum("first").alias("ndoc"), F.count(F.lit(1)).alias("nentry")).select(
         "lexeme", "ndoc", "nentry", (F.col("ndoc") / total).cast("float").alias("df_frac"))
 
 
+def statistics_of(rows: DataFrame, n_passages: int) -> DataFrame:
+    """As lexeme_statistics, from postings."""
+    return rows.groupBy("lexeme").agg(F.count(F.lit(1)).alias("ndoc"), F.sum("tf").alias("nentry")).select(
+        "lexeme", "ndoc", "nentry", (F.col("ndoc") / F.lit(n_passages)).cast("float").alias("df_frac"))
+
+
 def common_lexemes(stats: DataFrame, max_df: float = 0.05) -> DataFrame:
     """(lexeme, ndoc) over the threshold: exactly max_df in single precision is over it."""
     return stats.where(F.col("df_frac") > F.lit(float(max_df))).select("lexeme", "ndoc")
@@ -130,3 +158,32 @@ def lead_passages(passages: DataFrame) -> DataFrame:
     return unique_passages(passages).where("ordinal is not null").groupBy("doc_id").agg(F.min(best).alias("b")).select(
         "doc_id", "b.passage_id", "b.text")
 
+
+
+class NotFound(LookupError):
+    """No document has the id asked for."""
+
+
+def check_id(doc_id: int) -> int:
+    if isinstance(doc_id, bool) or not isinstance(doc_id, int) or doc_id < 1:
+        raise ValueError(f"a document id is a whole number from 1 on, not {doc_id!r}")
+    return doc_id
+
+
+def get_documents(wanted: DataFrame, documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """The documents of a batch of ids (doc_id), each once, with their passages; ``found`` is
+    false, and all else null, where no document has the id."""
+    ids = wanted.select("doc_id").where("doc_id is not null").distinct()
+    hit = documents.join(ids, "doc_id", "left_semi").withColumn("found", F.lit(True))
+    nested = documents_with_passages(hit, passages.join(ids, "doc_id", "left_semi"))
+    return ids.join(nested, "doc_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def get_document(documents: DataFrame, passages: DataFrame, doc_id: int) -> dict:
+    """One document by its id, with its passages in order. The id reaches both scans as a
+    filter. Raises NotFound, and ValueError for what can't be an id."""
+    rows = documents.where(F.col("doc_id") == check_id(doc_id)).limit(1).collect()
+    if not rows:
+        raise NotFound(f"no document {doc_id}")
+    kids = unique_passages(passages.where(F.col("doc_id") == doc_id)).orderBy("ordinal", "passage_id").drop("doc_id")
+    return rows[0].asDict() | {"passages": [r.asDict() for r in kids.collect()]}

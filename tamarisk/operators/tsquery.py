@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import logging
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -156,7 +156,8 @@ def render(node, drop: frozenset[int] | set[int] = frozenset(), outer: bool = Tr
         return "" if node.at in drop else node.text
     if isinstance(node, Not):
         inner = render(node.of, drop, False)
-        return inner and f"!{inner}"
+        bracket = isinstance(node.of, Term) and node.of.parts  # ! binds tighter than a phrase
+        return inner and (f"!( {inner} )" if bracket else f"!{inner}")
     said = [(isinstance(c, Not), r) for c in node.of if (r := render(c, drop, False))]
     if node.kind == "or":
         return " | ".join(r for _, r in said)
@@ -187,20 +188,28 @@ def quoted(lexeme: str) -> str:
     return "'" + lexeme.replace("'", "''") + "'"
 
 
-def from_web(text: str | None) -> str:
+def from_web(text: str | None, analyse: Callable[[str], str | None] = str) -> str:
     """Free text to a rendered query: "quotes" make phrases, ``or`` a disjunction, ``-``
-    a negation, everything else a conjunction. Never fails; '' if no word is left."""
+    a negation, everything else a conjunction (an unquoted compound of its words). Never
+    fails; '' if no word is left. ``analyse`` gives a word's lexeme, None for a stop word; a
+    phrase keeps the distance over those."""
     pieces = re.findall(r'(-?)"([^"]*)"|(-?)([^\s"]+)', text or "")
     branches: list[list[str]] = [[]]
     for neg_q, phrase, neg_w, word in pieces:
         if word.lower() == "or" and not neg_w:
             branches.append([])
             continue
-        words = re.findall(r"[a-z0-9]+", (word or phrase).lower())
-        if words:
-            body = " <-> ".join(map(quoted, words))
+        words = [analyse(w) for w in re.findall(r"[a-z0-9]+", (word or phrase).lower())]
+        at = [i for i, w in enumerate(words) if w is not None]
+        if not at:
+            continue
+        gap = lambda n: "<->" if n == 1 else f"<{n}>"
+        if phrase or neg_q or neg_w:
+            body = quoted(words[at[0]]) + "".join(f" {gap(j - i)} {quoted(words[j])}" for i, j in zip(at, at[1:]))
             negated = neg_q or neg_w
-            branches[-1].append(f"!( {body} )" if negated and len(words) > 1 else f"!{body}" if negated else body)
+            branches[-1].append(f"!( {body} )" if negated and len(at) > 1 else f"!{body}" if negated else body)
+        else:
+            branches[-1] += [quoted(words[i]) for i in at]
     return " | ".join(" & ".join(b) for b in branches if b)
 
 
@@ -236,3 +245,40 @@ def predicate(node, toks: Column) -> Column:
     if node.lexeme is not None:
         return F.array_contains(toks, node.lexeme)
     return F.exists(toks, lambda t: _holds(node, F.array(t), F.lit(1)))
+
+
+@dataclass(frozen=True)
+class Plan:
+    """How to run a query: 'none', 'bag' (any of ``wanted``, none of ``banned``; counted) or 'tree'
+    (``text``, scored by covers; a match holds one of ``wanted``)."""
+
+    kind: str
+    text: str = ""
+    wanted: tuple[str, ...] = ()
+    banned: tuple[str, ...] = ()
+
+
+def _bare(node) -> list[str] | None:
+    """The words of a disjunction of plain words."""
+    if isinstance(node, Term):
+        return None if node.lexeme is None else [node.lexeme]
+    if isinstance(node, Not) or node.kind != "or":
+        return None
+    parts = [_bare(c) for c in node.of]
+    return None if None in parts else [w for p in parts for w in p]
+
+
+def plan(text: str) -> Plan:
+    """The plan of a rendered query (see ``rewrite``)."""
+    tree = parse(text)
+    operands = positive_terms(tree) if tree is not None else []
+    if not operands:
+        return Plan("none")
+    said = tree.of if isinstance(tree, Group) and tree.kind == "and" else (tree,)
+    positive, negative = [c for c in said if not isinstance(c, Not)], [c for c in said if isinstance(c, Not)]
+    words, banned = _bare(positive[0]) if len(positive) == 1 else None, [_bare(c.of) for c in negative]
+    if words is not None and None not in banned:
+        return Plan("bag", text, tuple(dict.fromkeys(words)), tuple(w for b in banned for w in b))
+    lead = lambda t: t.parts[0] if t.parts else t
+    first = [t if (t := lead(o)).lexeme is not None else None for o in operands]
+    return Plan("tree", text, () if None in first else tuple(dict.fromkeys(t.lexeme for t in first)))  # a prefix may be any word

@@ -13,12 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.functions.text import citing_sentences, hash_split, sentences
+from tamarisk.functions.text import ABBREVIATIONS, CITATION_MARK, citing_sentences, hash_split, plain_query, sentences, tokens
 from tamarisk.operators import arms, corpus, evalset, metrics, mining, store, tsquery
 from tamarisk.operators.cover import cover_score
 from tamarisk.operators.ml import embed_missing
 from tamarisk.operators.search import Corpus, eval_queries
-from tamarisk.functions.text import tokens
 from tamarisk.plans.materialise import shared_dir, written
 from tamarisk.sources.records import normalise_records
 from tamarisk.streaming.ingest import ingest_stream, windowed_counts
@@ -54,7 +53,7 @@ P = "p AS (SELECT DISTINCT passage_id, doc_id, ordinal, section, text FROM passa
 TOK = "tok AS (SELECT passage_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS lexeme FROM p)"
 STATS = """stats AS (SELECT lexeme, count(DISTINCT passage_id) AS ndoc, count(*) AS nentry,
   CAST(count(DISTINCT passage_id)::DOUBLE / (SELECT count(*) FROM p) AS FLOAT) AS df_frac FROM tok GROUP BY lexeme)"""
-Q_PASSAGES = "q AS (SELECT passage_id AS query_id, text AS query_text FROM p WHERE passage_id % 100 = 0)"
+Q_PASSAGES = "q AS (SELECT passage_id AS query_id, text AS query_text FROM p WHERE passage_id % 100 = 0)"  # read as plain words
 
 
 def q_eval(split: str, origin: str | None = None) -> str:
@@ -63,7 +62,7 @@ def q_eval(split: str, origin: str | None = None) -> str:
 
 
 TERMS = """w AS (SELECT query_id, lower(toks[i]) AS lexeme, min(i) AS pos FROM (
-  SELECT query_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM (SELECT query_id, regexp_extract_all(query_text, '[A-Za-z0-9]+') AS toks FROM q)) GROUP BY 1, 2),
+  SELECT query_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM (SELECT query_id, list_filter(regexp_extract_all(query_text, '[A-Za-z0-9]+'), lambda t: lower(t) <> 'or') AS toks FROM q)) GROUP BY 1, 2),
 k AS (SELECT w.*, CASE WHEN s.df_frac > 0.05::DOUBLE THEN s.ndoc END AS nd FROM w LEFT JOIN stats s USING (lexeme)),
 r AS (SELECT *, count(*) FILTER (WHERE nd IS NULL) OVER (PARTITION BY query_id) AS rare,
   row_number() OVER (PARTITION BY query_id, nd IS NULL ORDER BY nd, pos) AS place FROM k),
@@ -145,9 +144,7 @@ def split_sentences(spark, d):
 
 
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_ABBR = ", ".join(f"'{a}'" for a in (
-    "approx", "ca", "cf", "e.g", "et al", "etc", "fig", "figs", "i.e", "no", "p", "ref", "refs", "vs", "vol", "spp", "sp", "subsp", "str",
-    "var", "dr", "prof", "mr", "mrs", "ms", "st", "jr", "sr", "inc", "ltd", "co"))
+_ABBR = ", ".join(f"'{a}'" for a in ABBREVIATIONS)
 
 
 def sents_cte(col: str) -> str:
@@ -187,7 +184,7 @@ def citing_sentences_of_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(citing_sentences(F.col("text"))).alias("sentence"))
 
 
-_MARK = r"\[\d+(?:\s*[,-]\s*\d+)*\]|\([A-Z][A-Za-z]+ et al\.?,? \d{4}\)"
+_MARK = CITATION_MARK
 sql("citing_sentences_of_texts", sents_cte("text"), body=rf"""SELECT doc_id, s AS sentence FROM (SELECT doc_id,
   regexp_replace(regexp_replace(regexp_replace(s, '{_MARK}', '', 'g'), '^{_WS}+|{_WS}+$', '', 'g'), '{_WS}{{2,}}', ' ', 'g') AS s
   FROM (SELECT doc_id, unnest(ss) AS s FROM sents) WHERE regexp_matches(s, '{_MARK}')) WHERE length(s) BETWEEN 60 AND 400""")
@@ -263,13 +260,14 @@ sql("doc_with_passages", P, body="""SELECT d.doc_id, any_value(d.title) AS title
 # --- arms ---------------------------------------------------------------------------
 
 def _asked(spark, d) -> tuple[Corpus, DataFrame]:
+    """Passages as queries: prose, so read as plain words."""
     c = the_corpus(spark, d)
-    return c, c.passages.where("passage_id % 100 = 0").select(F.col("passage_id").alias("query_id"), F.col("text").alias("query_text"))
+    return c, c.passages.where("passage_id % 100 = 0").select(F.col("passage_id").alias("query_id"), F.col("text").alias("query_text"), plain_query(F.col("text")).alias("ask"))
 
 
 def _fts(spark, d, k):
     c, q = _asked(spark, d)
-    return arms.lexical(q, c.passages, c.statistics, k)
+    return c.lexical(q, k)
 
 
 def _vectors(spark, d):
@@ -284,7 +282,7 @@ def _dense(spark, d, k):
 @query
 def pruned_terms(spark, d):
     c, q = _asked(spark, d)
-    return arms.query_terms(q, c.statistics)
+    return arms.query_terms(q, c.statistics, query_col="ask")
 
 
 sql("pruned_terms", P, TOK, STATS, Q_PASSAGES, TERMS, body="SELECT query_id, lexeme FROM terms")
@@ -301,7 +299,7 @@ sql("fts_topk", P, TOK, STATS, Q_PASSAGES, TERMS, fts_cte(K_FTS), body="SELECT q
 @query
 def join_after_limit(spark, d):
     c, q = _asked(spark, d)
-    return arms.with_titles(arms.lexical(q, c.passages, c.statistics, K_FTS), c.passages, c.documents).select(
+    return arms.with_titles(c.lexical(q, K_FTS), c.passages, c.documents).select(
         "query_id", "passage_id", "doc_id", "score", "rank", "title")
 
 
@@ -312,7 +310,7 @@ sql("join_after_limit", P, TOK, STATS, Q_PASSAGES, TERMS, fts_cte(K_FTS),
 @query
 def join_before_limit(spark, d):
     c, q = _asked(spark, d)
-    scored = arms.lexical(q, c.passages, c.statistics, 2**31 - 1).drop("rank")
+    scored = c.lexical(q, 2**31 - 1).drop("rank")
     return arms.titled_first(scored, c.passages, c.documents, K_FTS).select("query_id", "passage_id", "doc_id", "score", "rank", "title")
 
 
