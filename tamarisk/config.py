@@ -6,8 +6,28 @@ import dataclasses
 import hashlib
 import json
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, fields
 
+from pyspark.sql import SparkSession
+
+
+
+@contextmanager
+def scoped(spark: SparkSession, values: dict[str, object]) -> Iterator[None]:
+    """Session settings for the length of a block; what stood before comes back, also after an error.
+    Plans must be run inside the block, as they read settings when they run."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 ENV = "TAMARISK_"
 RETRIEVAL = (  # what the arms read; the rest changes no ranking
     "embed_dim", "query_prefix", "fts_depth", "dense_depth", "rrf_k", "rerank_depth", "rrf_weighted", "rrf_weights", "analyzer", "or_semantics",

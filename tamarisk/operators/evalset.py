@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tamarisk.config import Settings
 from tamarisk.functions.text import hash_split, identifier, strip
 
 
@@ -40,7 +41,7 @@ def resolve_references(references: DataFrame, documents: DataFrame) -> DataFrame
     return hit.where("cited_doc_id <> doc_id").select("doc_id", "cited_doc_id").distinct()
 
 
-def citation_pairs(resolved: DataFrame, documents: DataFrame, min_refs: int = 3) -> DataFrame:
+def citation_pairs(resolved: DataFrame, documents: DataFrame, min_refs: int = Settings.min_refs) -> DataFrame:
     """(citing_doc_id, cited_doc_id, context_text): the title as context, for documents with
     enough resolved references."""
     enough = resolved.groupBy("doc_id").agg(F.count_distinct("cited_doc_id").alias("n")).where(F.col("n") >= min_refs)
@@ -55,7 +56,7 @@ def to_harvest(documents: DataFrame, contexts: DataFrame, limit: int = 2000) ->
         "doc_id", "source", "ext_id", "title", "cited_by")
 
 
-def citation_eval_set(contexts: DataFrame, test_fraction: float = 0.2, min_positives: int = 2) -> tuple[DataFrame, DataFrame]:
+def citation_eval_set(contexts: DataFrame, test_fraction: float = Settings.test_fraction, min_positives: int = Settings.min_positives) -> tuple[DataFrame, DataFrame]:
     """(queries: query_text, split; labels: query_text, doc_id, relevance 1) from contexts.
 
     A context of a citing document with enough citations is a query; the split is a

@@ -128,7 +128,7 @@ def train_reranker(rows: DataFrame, s: Settings = Settings()) -> PipelineModel |
 
     stages = [VectorAssembler(inputCols=list(FEATURES), outputCol="features"),
               LogisticRegression(featuresCol="features", labelCol="label", maxIter=50, regParam=1e-3, standardization=True)]
-    return Pipeline(stages=stages).fit(rows.select("label", *FEATURES))
+    return Pipeline(stages=stages).fit(rows.select("label", *FEATURES))  # full-batch and convex: no order, batch or seed enters
 
 
 def logit(model: PipelineModel) -> Column:

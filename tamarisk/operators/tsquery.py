@@ -210,7 +210,7 @@ def from_web(text: str | None, analyse: Callable[[str], str | None] = str) -> st
             branches[-1].append(f"!( {body} )" if negated and len(at) > 1 else f"!{body}" if negated else body)
         else:
             branches[-1] += [quoted(words[i]) for i in at]
-    return " | ".join(" & ".join(b) for b in branches if b)
+    return " | ".join(" & ".join(dict.fromkeys(b)) for b in branches if b)
 
 
 def _holds(term: Term, toks: Column, i: Column) -> Column:

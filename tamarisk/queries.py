@@ -13,14 +13,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarisk.config import Settings
 from tamarisk.functions.text import ABBREVIATIONS, CITATION_MARK, citing_sentences, hash_split, plain_query, sentences, tokens
-from tamarisk.operators import arms, corpus, evalset, metrics, mining, store, tsquery
+from tamarisk.operators import arms, corpus, evalset, metrics, mining, pipeline, schema, store, tsquery
 from tamarisk.operators.cover import cover_score
 from tamarisk.operators.ml import embed_missing
 from tamarisk.operators.search import Corpus, eval_queries
 from tamarisk.plans.materialise import shared_dir, written
 from tamarisk.sources.records import normalise_records
-from tamarisk.streaming.ingest import ingest_stream, windowed_counts
+from tamarisk.streaming.ingest import documents_table, in_order, ingest_stream, windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 K_FTS, K_RUN, DEPTH = 10, 50, 100
@@ -181,11 +182,13 @@ sql("passages_chunked", sents_cte("abstract"), CHUNKS, body="SELECT doc_id, ordi
 
 @query
 def citing_sentences_of_texts(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(citing_sentences(F.col("text"))).alias("sentence"))
+    """Whole texts with a citation mark planted at each stop, as they have none of their own."""
+    marked = F.regexp_replace("text", r"\. ", " [3, 14]. ")
+    return table(spark, d, "documents").select("doc_id", F.explode(citing_sentences(marked)).alias("sentence"))
 
 
 _MARK = CITATION_MARK
-sql("citing_sentences_of_texts", sents_cte("text"), body=rf"""SELECT doc_id, s AS sentence FROM (SELECT doc_id,
+sql("citing_sentences_of_texts", sents_cte(r"regexp_replace(text, '\. ', ' [3, 14]. ', 'g')"), body=rf"""SELECT doc_id, s AS sentence FROM (SELECT doc_id,
   regexp_replace(regexp_replace(regexp_replace(s, '{_MARK}', '', 'g'), '^{_WS}+|{_WS}+$', '', 'g'), '{_WS}{{2,}}', ' ', 'g') AS s
   FROM (SELECT doc_id, unnest(ss) AS s FROM sents) WHERE regexp_matches(s, '{_MARK}')) WHERE length(s) BETWEEN 60 AND 400""")
 
@@ -406,6 +409,71 @@ sql("rrf_weight_sweep", *HYBRID, f"ws AS (SELECT * FROM (VALUES {_SWEEP_VALUES})
     body="SELECT *, run = (SELECT run FROM t ORDER BY ndcg DESC, run::DOUBLE DESC LIMIT 1) AS best FROM t")
 
 
+# Each sampled passage's first words, asked in the web grammar.
+FIRST_WORDS = """fw AS (SELECT passage_id, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda t: lower(t)), lambda t: t <> 'or') AS t FROM p WHERE passage_id % 100 = 0)"""
+TOK_AT = """tp AS (SELECT passage_id, lower(ts[i]) AS lexeme, i AS pos FROM (SELECT passage_id, ts, unnest(range(1, len(ts) + 1)) AS i FROM (
+  SELECT passage_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS ts FROM p)))"""
+
+
+def _first_words(c: Corpus) -> DataFrame:
+    words = F.filter(tokens(F.col("text")), lambda t: t != "or")
+    return c.passages.where("passage_id % 100 = 0").select(F.col("passage_id").alias("query_id"), words.alias("t"))
+
+
+def _asked_with(spark, d, text, s: Settings = Settings()) -> DataFrame:
+    c = Corpus(table(spark, d, "documents"), table(spark, d, "passages"), s)
+    return c.search(_first_words(c).where(F.size("t") > 5).select("query_id", text.alias("query_text")), "fts", K_FTS).select(
+        "query_id", "passage_id", "doc_id", "score", "rank")
+
+
+def _word(i: int):
+    return F.get("t", i)
+
+
+@query
+def fts_negation(spark, d):
+    """a b c -d: any of three words, and not the fourth."""
+    return _asked_with(spark, d, F.concat_ws(" ", _word(0), _word(1), _word(2), F.concat(F.lit("-"), _word(3))))
+
+
+@query
+def fts_web_or(spark, d):
+    """a b or c -d: alternatives by name; each has its own negations. Beside them "-a", which gives nothing."""
+    c = the_corpus(spark, d)
+    w = _first_words(c).where(F.size("t") > 5)
+    both = w.select("query_id", F.concat_ws(" ", _word(0), _word(1), F.lit("or"), _word(2)).alias("query_text")).unionByName(
+        w.select((-F.col("query_id")).alias("query_id"), F.concat(F.lit("-"), _word(0)).alias("query_text")))
+    return c.search(both, "fts", K_FTS).select("query_id", "passage_id", "doc_id", "score", "rank")
+
+
+@query
+def fts_phrase(spark, d):
+    """"a b" in quotes: the words next to each other, in this order."""
+    return _asked_with(spark, d, F.concat(F.lit('"'), _word(0), F.lit(" "), _word(1), F.lit('"')))
+
+
+@query
+def fts_all_words(spark, d):
+    """Without or_semantics all of the words must be there (by the plan that joins before the limit)."""
+    hits = _asked_with(spark, d, F.concat_ws(" ", _word(0), _word(1), _word(2), F.concat(F.lit("-"), _word(5))), Settings(or_semantics=False, join_after_limit=False))
+    return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") > 0).alias("n_scored"))
+
+
+_HITS = """hit AS (SELECT query_id, passage_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id)::INT AS rank FROM (
+  SELECT query_id, passage_id, round((n * 0.1::DOUBLE) / (1 + n * 0.1::DOUBLE), 6) AS score FROM n) QUALIFY rank <= 10)"""
+_WITH_DOC = "SELECT query_id, passage_id, doc_id, score, rank FROM hit JOIN p USING (passage_id)"
+sql("fts_negation", P, TOK, STATS, FIRST_WORDS, "q AS (SELECT passage_id AS query_id, array_to_string(t[1:3], ' ') AS query_text, t[4] AS ban FROM fw WHERE len(t) > 5)", TERMS,
+    """n AS (SELECT t.query_id, k.passage_id, count(*) AS n FROM tok k JOIN terms t USING (lexeme) JOIN q USING (query_id)
+  WHERE NOT EXISTS (SELECT 1 FROM tok b WHERE b.passage_id = k.passage_id AND b.lexeme = q.ban) GROUP BY 1, 2)""", _HITS, body=_WITH_DOC)
+sql("fts_web_or", P, TOK, STATS, FIRST_WORDS, "q AS (SELECT passage_id AS query_id, array_to_string(t[1:3], ' ') AS query_text FROM fw WHERE len(t) > 5)", TERMS,
+    "n AS (SELECT query_id, passage_id, count(*) AS n FROM tok JOIN terms USING (lexeme) GROUP BY 1, 2)", _HITS, body=_WITH_DOC)
+sql("fts_phrase", P, TOK_AT, FIRST_WORDS, """n AS (SELECT f.passage_id AS query_id, a.passage_id, count(*) AS n FROM fw f JOIN tp a ON a.lexeme = f.t[1]
+  JOIN tp b ON b.passage_id = a.passage_id AND b.pos = a.pos + 1 AND b.lexeme = f.t[2] WHERE len(f.t) > 5 GROUP BY 1, 2)""", _HITS, body=_WITH_DOC)
+sql("fts_all_words", P, TOK, FIRST_WORDS, """m AS (SELECT f.passage_id AS query_id, k.passage_id FROM fw f JOIN tok k ON k.lexeme IN (f.t[1], f.t[2], f.t[3]) WHERE len(f.t) > 5
+  GROUP BY f.passage_id, f.t, k.passage_id HAVING count(DISTINCT k.lexeme) = len(list_distinct(f.t[1:3])) AND NOT EXISTS (SELECT 1 FROM tok b WHERE b.passage_id = k.passage_id AND b.lexeme = f.t[6]))""",
+    body="SELECT query_id, least(count(*), 10) AS n, least(count(*), 10) AS n_scored FROM m GROUP BY 1")
+
+
 PHRASE = "'insulator' <-> 'clusters' | 'splice' <-> 'site' & !'stress'"
 
 
@@ -765,17 +833,141 @@ def normalised_records(spark, d):
 _STRIP = f"regexp_replace(%s, '^{_WS}+|{_WS}+$', '', 'g')"
 sql("normalised_records", body=f"""SELECT CASE WHEN coalesce(source, '') = '' OR upper(source) = 'MED' THEN 'MED' ELSE source END AS source, {_STRIP % "coalesce(ext_id, '')"} AS ext_id,
   {_STRIP % 'title'} AS title, nullif({_STRIP % 'abstract'}, '') AS abstract, journal, CASE WHEN cited_by % 5 = 0 THEN NULL ELSE pub_year END AS pub_year,
-  coalesce(cited_by, 0) AS cited_by, coalesce(is_open_access, false) AS is_open_access FROM documents WHERE {_STRIP % "coalesce(title, '')"} <> '' AND {_STRIP % "coalesce(ext_id, '')"} <> ''""")
+  coalesce(cited_by, 0) AS cited_by, coalesce(is_open_access, false) AS is_open_access FROM documents WHERE {_STRIP % "coalesce(title, '')"} <> '' AND {_STRIP % "coalesce(ext_id, '')"} <> '' AND {_STRIP % "coalesce(abstract, '')"} <> ''""")
+
+
+@query
+def point_lookups(spark, d):
+    """Each labelled document looked up by its id; some ids have no document."""
+    wanted = table(spark, d, "eval_qrels").select("doc_id").unionByName(table(spark, d, "eval_qrels").select((-F.col("doc_id")).alias("doc_id")))
+    got = corpus.get_documents(wanted, table(spark, d, "documents"), table(spark, d, "passages"))
+    return got.select("doc_id", "found", "title", F.coalesce(F.size("passages"), F.lit(0)).alias("n_passages"))
+
+
+sql("point_lookups", P, "w AS (SELECT DISTINCT doc_id FROM (SELECT doc_id FROM eval_qrels UNION ALL SELECT -doc_id FROM eval_qrels) WHERE doc_id IS NOT NULL)",
+    body="""SELECT w.doc_id, d.doc_id IS NOT NULL AS found, any_value(d.title) AS title, count(p.passage_id)::INT AS n_passages
+  FROM w LEFT JOIN documents d USING (doc_id) LEFT JOIN p ON p.doc_id = d.doc_id GROUP BY 1, 2""")
+
+
+@query
+def published_lexemes(spark, d):
+    """The statistics put in place of the stored ones in one step, and read from there."""
+    path = f"{shared_dir(spark)}/published-{uuid.uuid4().hex}"
+    store.publish(table(spark, d, "lexeme_df").select("lexeme", F.col("ndoc").cast("long"), "df_frac"), path)
+    return store.publish(lexeme_df(spark, d).select("lexeme", "ndoc", "df_frac"), path)
+
+
+sql("published_lexemes", P, TOK, STATS, body="SELECT lexeme, ndoc, df_frac FROM stats")
+
+
+@query
+def upserted_queries(spark, d):
+    """Stored queries after those derived from citations came in: splits set, new ones numbered."""
+    return pipeline.build_eval_set(table(spark, d, "citation_contexts"), table(spark, d, "eval_queries"), evalset.labels_of(table(spark, d, "eval_qrels")))[0]
+
+
+UPSERTED = """der AS (SELECT context_text AS query_text, CASE WHEN ('0x' || substr(sha256(max(citing_doc_id)::VARCHAR), 1, 8))::BIGINT % 100 < 20 THEN 'test' ELSE 'train' END AS split FROM kept GROUP BY 1),
+uq AS (SELECT e.query_id, e.query_text, e.origin, coalesce(d.split, e.split) AS split FROM eval_queries e LEFT JOIN der d USING (query_text)
+  UNION ALL SELECT (SELECT max(query_id) FROM eval_queries) + row_number() OVER (ORDER BY query_text), query_text, 'citation', split FROM der d
+  WHERE NOT EXISTS (SELECT 1 FROM eval_queries e WHERE e.query_text = d.query_text))"""
+sql("upserted_queries", BUILT, UPSERTED, body="SELECT query_id, query_text, origin, split FROM uq")
+
+
+@query
+def derived_labels(spark, d):
+    """Labels after the derived ones came in by the ids of their queries: judged grades stay."""
+    return pipeline.build_eval_set(table(spark, d, "citation_contexts"), table(spark, d, "eval_queries"), evalset.labels_of(table(spark, d, "eval_qrels")))[1]
+
+
+sql("derived_labels", BUILT, UPSERTED, LABELS, """nl AS (SELECT DISTINCT u.query_id, c.cited_doc_id AS doc_id FROM citation_contexts c
+  JOIN kept k ON c.citing_doc_id = k.citing_doc_id AND c.context_text = k.context_text JOIN uq u ON u.query_text = c.context_text WHERE c.cited_doc_id IS NOT NULL)""",
+    body="SELECT query_id, doc_id, relevance FROM labels UNION ALL SELECT query_id, doc_id, 1 FROM nl ANTI JOIN labels l USING (query_id, doc_id)")
+
+
+@query
+def upserted_log(spark, d):
+    """The ingest log after every other query was fetched again a day later, and a new one came."""
+    log = table(spark, d, "ingest_log")
+    again = log.where("n_docs % 2 = 0").select("query", (F.col("n_docs") + 1).alias("n_docs"), (F.col("fetched_at") + F.expr("interval 1 day")).alias("fetched_at"))
+    new = log.select(F.concat(F.lit("new "), F.col("query")).alias("query"), "n_docs", "fetched_at")
+    return store.upsert_log(log, again.unionByName(new)).select("query", "n_docs", F.unix_micros("fetched_at").alias("fetched_us"))
+
+
+sql("upserted_log", """lg AS (SELECT * FROM ingest_log QUALIFY row_number() OVER (PARTITION BY query ORDER BY fetched_at DESC, n_docs DESC) = 1)""",
+    """ag AS (SELECT query, n_docs + 1 AS n_docs, fetched_at + INTERVAL 1 DAY AS fetched_at FROM ingest_log WHERE n_docs % 2 = 0 UNION ALL SELECT 'new ' || query, n_docs, fetched_at FROM ingest_log)""",
+    "la AS (SELECT * FROM ag QUALIFY row_number() OVER (PARTITION BY query ORDER BY fetched_at DESC, n_docs DESC) = 1)",
+    body="SELECT coalesce(a.query, l.query) AS query, coalesce(a.n_docs, l.n_docs) AS n_docs, epoch_us(coalesce(a.fetched_at, l.fetched_at)) AS fetched_us FROM lg l FULL JOIN la a USING (query)")
+
+
+def _raw_records(docs: DataFrame) -> DataFrame:
+    """Documents as a service would return them for seven queries."""
+    record = F.to_json(F.struct("source", F.col("ext_id").alias("id"), "pmid", "pmcid", "doi", "title", F.col("abstract").alias("abstractText"),
+                                F.col("pub_year").cast("string").alias("pubYear"), F.col("cited_by").cast("string").alias("citedByCount"), F.col("journal").alias("journalTitle")))
+    return docs.select(F.concat(F.lit("q"), F.col("doc_id") % 7).alias("query"), record.alias("record"))
+
+
+@query
+def ingest_totals(spark, d):
+    """A whole round into the stored tables: two of seven queries are in the log and are skipped."""
+    docs = table(spark, d, "documents")
+    have = corpus.unique_passages(table(spark, d, "passages")).groupBy("doc_id", "ordinal").agg(F.min(F.struct("section", "text")).alias("r")).select("doc_id", "ordinal", "r.*")
+    log = spark.createDataFrame([("q0", 1), ("q1", 2)], "query string, n_docs int").withColumn("fetched_at", F.lit(CUTOFF).cast("timestamp"))
+    stored = _stored(docs).withColumn("canonical_doc_id", F.lit(None).cast("long"))
+    return pipeline.ingest_round(_raw_records(docs), stored, have, log, F.lit("2025-01-01 00:00:00").cast("timestamp")).totals
+
+
+sql("ingest_totals", f"""rec0 AS (SELECT coalesce(nullif(source, ''), 'MED') AS source, {_STRIP % "coalesce(ext_id, '')"} AS ext_id, {_STRIP % 'title'} AS title, {_STRIP % 'abstract'} AS abstract
+  FROM documents WHERE doc_id % 7 > 1 AND {_STRIP % "coalesce(title, '')"} <> '' AND {_STRIP % "coalesce(ext_id, '')"} <> '' AND {_STRIP % "coalesce(abstract, '')"} <> '')""",
+    """rec AS (SELECT row_number() OVER () AS doc_id, n, title, abstract FROM (SELECT *, count(*) OVER (PARTITION BY source, ext_id) AS n FROM rec0
+  QUALIFY row_number() OVER (PARTITION BY source, ext_id ORDER BY title DESC, abstract DESC) = 1))""",
+    sents_cte("abstract").replace("FROM documents)", "FROM rec)"), CHUNKS,
+    body="SELECT (SELECT count(*) FROM rec0) AS documents, (SELECT sum(n) FROM chunks JOIN rec USING (doc_id))::BIGINT AS passages, 2 AS skipped")
+
+
+@query
+def harvest_totals(spark, d):
+    docs = table(spark, d, "documents")
+    return pipeline.harvest_totals(docs, written(evalset.resolve_references(_references(spark, d), docs), "refs"), docs)
+
+
+sql("harvest_totals", RESOLVED, "per AS (SELECT doc_id, count(DISTINCT cited_doc_id) AS n FROM resolved JOIN documents USING (doc_id) GROUP BY 1)",
+    body="""SELECT (SELECT count(DISTINCT doc_id) FROM documents) AS documents, count(*) AS with_references, count(*) FILTER (WHERE n >= 3) AS with_enough,
+  coalesce(sum(n) FILTER (WHERE n >= 3), 0)::BIGINT AS contexts FROM per""")
+
+
+@query
+def schema_violations(spark, d):
+    """What in the stored tables breaks the declared keys, references and checks."""
+    return schema.violations({name: table(spark, d, name) for name in schema.TABLES})
+
+
+def _violation_sql() -> str:
+    parts = []
+    for name, t in schema.TABLES.items():
+        row = lambda what, n, name=name: parts.append(f"SELECT '{name}' AS table_name, '{what}' AS constraint_name, {n} AS n_rows")
+        for c in (*t.key, *t.required):
+            row(f"required {c}", f"(SELECT count(*) FROM {name} WHERE {c} IS NULL)")
+        for what, cond in t.checks:
+            row(f"check {what}", f"(SELECT count(*) FROM {name} WHERE NOT ({cond.replace('size(', 'len(')}))")
+        for key in (t.key, *t.unique):
+            row(f"unique {', '.join(key)}", f"(SELECT coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM {name} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in key)} GROUP BY {', '.join(key)}))")
+        for col, target, at in t.refers:
+            row(f"refers {col}", f"(SELECT count(*) FROM {name} x WHERE {col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {target} y WHERE y.{at} = x.{col}))")
+    return " UNION ALL ".join(parts)
+
+
+sql("schema_violations", body=_violation_sql())
 
 
 @query
 def streamed_documents(spark, d):
-    """All documents through the ingest stream, to the table it keeps."""
-    src = f"{d}/documents.parquet"
-    folder, glob = (src, None) if os.path.isdir(src) else (d, "documents.parquet")
+    """All documents through the ingest stream, in files that arrive one a trigger, to the table it keeps."""
     home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    ingest_stream(spark, folder, spark.read.parquet(src).schema, f"{home}/documents", f"{home}/checkpoint", glob=glob).awaitTermination()
-    return spark.read.parquet(f"{home}/documents").select("source", "ext_id", "title", "cited_by")
+    docs = table(spark, d, "documents")
+    docs.repartitionByRange(max(4, docs.rdd.getNumPartitions()), "ingested_at", "doc_id").write.parquet(f"{home}/arriving")
+    in_order(spark, f"{home}/arriving")
+    ingest_stream(spark, f"{home}/arriving", docs.schema, f"{home}/documents", f"{home}/checkpoint", files_per_trigger=1).awaitTermination()
+    return documents_table(spark, f"{home}/documents").read().select("source", "ext_id", "title", "cited_by")
 
 
 sql("streamed_documents", body="""SELECT source, ext_id, title, cited_by FROM documents QUALIFY row_number() OVER (PARTITION BY source, ext_id ORDER BY ingested_at DESC, pmid DESC, pmcid DESC, doi DESC, title DESC) = 1""")

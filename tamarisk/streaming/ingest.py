@@ -1,8 +1,9 @@
 """Incremental ingest: a stream of document rows merged into a stored table.
 
-Each micro-batch is one upsert and one publish. The batch's number is written
-with the state, so a batch that is replayed after a failure changes nothing:
-with the stream's own checkpoint that makes the table exactly-once.
+Each micro-batch is one upsert of the hash buckets it touches and one new version
+of the table, which appears at once or not at all. The batch's number is written with
+the version, so a batch that is replayed after a failure changes nothing: with the
+stream's own checkpoint that makes the table exactly-once.
 """
 
 from __future__ import annotations
@@ -12,28 +13,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from tamarisk.operators.store import publish, upsert_documents
+from tamarisk.operators.store import VersionedTable, upsert_documents
 from tamarisk.plans.materialise import written
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def merge_batch(spark: SparkSession, table: str, batch: DataFrame, epoch: int, arrival: str) -> None:
-    """The stored documents with a batch merged in; ``epoch`` says which was the last."""
-    cols = batch.columns
-    if _exists(spark, table):
-        state = spark.read.parquet(table)
-        if (state.agg(F.max("_epoch")).first()[0] or -1) >= epoch:
-            return
-        stored = state.select(*cols)
-    else:
-        stored = spark.createDataFrame([], batch.schema)
-    merged = upsert_documents(stored, batch.drop("doc_id"), arrival)
-    publish(written(merged, "ingest").withColumn("_epoch", F.lit(epoch)), table)
+def documents_table(spark: SparkSession, path: str, buckets: int = 16) -> VersionedTable:
+    return VersionedTable(spark, path, ("source", "ext_id"), buckets)
+
+
+def merge_batch(spark: SparkSession, path: str, batch: DataFrame, epoch: int, arrival: str, buckets: int = 16) -> bool:
+    """The stored documents with a batch merged in; False if it was merged before. ``epoch`` numbers
+    the batches; only the buckets the batch touches are read and written."""
+    table = documents_table(spark, path, buckets)
+    last = table.manifest()
+    if last is not None and last["mark"] is not None and last["mark"] >= epoch:
+        return False
+    touched = table.touched(batch)
+    if not touched:
+        return False
+    stored = table.read(touched)
+    stored = spark.createDataFrame([], batch.schema) if stored is None else stored
+    top = 0 if last is None else last["facts"]["top"]
+    merged = written(upsert_documents(stored, batch.drop("doc_id"), arrival, top), "ingest")
+    table.commit(merged, touched, epoch, {"top": max(top, merged.agg(F.max("doc_id")).first()[0] or 0)})
+    return True
+
+
+def in_order(spark: SparkSession, folder: str) -> int:
+    """Gives the part files of a folder times in the order of their names, so that a stream takes
+    them in that order. Returns how many there are."""
+    mk = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = mk(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(mk(folder)) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    for n, f in enumerate(files):
+        fs.setTimes(f, 1_700_000_000_000 + 1000 * n, -1)
+    return len(files)
 
 
 def ingest_stream(spark: SparkSession, folder: str, schema: StructType, table: str, checkpoint: str, arrival: str = "ingested_at",

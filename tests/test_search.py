@@ -3,7 +3,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamarisk.operators import arms
-from tamarisk.operators.corpus import documents_with_passages, positions, stemmed_postings, unique_passages
+from tamarisk.config import Settings
+from tamarisk.operators.corpus import (
+    NotFound, documents_with_passages, english_vectors, get_document, positions, stemmed_postings, unique_passages,
+)
 from tamarisk.operators.metrics import distinct_documents
 from tamarisk.operators.ml import HashingEncoder, embed_missing, load_model, save_model
 from tamarisk.operators.search import Corpus, eval_queries
@@ -119,3 +122,68 @@ def test_reference_lists(spark, tmp_path):
     assert sorted(tuple(r) for r in reference_lists(docs, str(tmp_path)).collect()) == [(1, 0, "5", None, None, None), (1, 1, None, None, None, "10.1/x")]
     write_runs(docs, str(tmp_path / "runs"), "x")
     assert read_runs(spark, str(tmp_path / "runs"), "x").count() == 2
+
+
+def small(spark, **kw):
+    texts = ["heron low tide", "tide low heron", "eel stress", "stress only", "heron stress low tide", None, ""]
+    docs = spark.createDataFrame([(i, "t", "MED") for i in range(7)], "doc_id long, title string, source string")
+    p = spark.createDataFrame([(i, i, 0, "s", t, None) for i, t in enumerate(texts)], "passage_id long, doc_id long, ordinal int, section string, text string, embedding array<float>")
+    return Corpus(docs, p, Settings(prune_common=False, **kw))
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("heron -stress", {0, 1}), ("-stress", set()), ('"low tide"', {0, 4}), ('"low tide" -stress', {0}), ("eel or heron", {0, 1, 2, 4}),
+    ('heron -"low tide"', {1}), ('eel or heron -"tide low"', {0, 2, 4}), ("heron eel -only", {0, 1, 2, 4}), ("zzz", set()), ('"', set()), ("  ", set()),
+])
+def test_grammar_in_search(spark, text, want):
+    hits = small(spark).search_one(text, "fts", 10)["hits"]
+    assert {h["passage_id"] for h in hits} == want
+    assert all(h["components"] == {"fts": h["score"]} for h in hits)
+
+
+def test_switches_change_plans(spark):
+    q = spark.createDataFrame([(1, "heron stress")], "query_id long, query_text string")
+    loose, strict = small(spark), small(spark, or_semantics=False)
+    ids = lambda c: sorted(r.passage_id for r in c.search(q, "fts", 10).collect())
+    assert ids(loose) == [0, 1, 2, 3, 4] and ids(strict) == [4]
+    after, before = loose.search(q, "fts", 10), small(spark, join_after_limit=False).search(q, "fts", 10)
+    tree = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert tree(after).index("Window") > tree(after).index("Join") and tree(before).index("Window") < tree(before).index("Join")
+    assert sorted((r.passage_id, r["rank"]) for r in after.collect()) == sorted((r.passage_id, r["rank"]) for r in before.collect())
+    assert Settings(requests_per_second=1).fingerprint() == Settings().fingerprint() != Settings(or_semantics=False).fingerprint()
+
+
+def test_english_analysis(spark):
+    c = small(spark, analyzer="english")
+    assert {h["passage_id"] for h in c.search_one("the herons", "fts", 9)["hits"]} == {0, 1, 4}
+    assert {h["passage_id"] for h in c.search_one('"lows tides"', "fts", 9)["hits"]} == {0, 4}
+    p = spark.createDataFrame([(1, "The running of the eels running"), (2, "of the"), (3, None)], "passage_id long, text string")
+    assert {(r.passage_id, r.lexeme): r.positions for r in english_vectors(p).collect()} == {(1, "run"): [2, 6], (1, "eel"): [5]}
+
+
+def test_pair_scorer(spark):
+    class Length:
+        def score(self, queries, texts):
+            return np.array([float(len(t)) for t in texts])
+
+    c = small(spark)
+    c.pair_scorer = Length()
+    hits = c.search_one("heron stress", "hybrid_rerank", 3)
+    assert hits["reranked"] and [h["passage_id"] for h in hits["hits"]] == [4, 0, 1] and hits["hits"][0]["components"]["rerank"] == 21.0
+
+
+@pytest.mark.parametrize(("text", "arm", "k"), [("", "fts", 5), ("x" * 1001, "fts", 5), ("x", "fts", 0), ("x", "fts", 101), ("x", "nope", 5), ("x", "fts", True)])
+def test_limits_of_a_search(spark, text, arm, k):
+    with pytest.raises(ValueError):
+        small(spark).search_one(text, arm, k)
+
+
+def test_point_lookup(spark):
+    c = small(spark)
+    one = get_document(c.documents, c.raw_passages, 4)
+    assert one["doc_id"] == 4 and [p["text"] for p in one["passages"]] == ["heron stress low tide"]
+    with pytest.raises(NotFound):
+        get_document(c.documents, c.raw_passages, 99)
+    for bad in (0, -1, "4", None, True):
+        with pytest.raises(ValueError):
+            get_document(c.documents, c.raw_passages, bad)

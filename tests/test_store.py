@@ -47,10 +47,25 @@ def test_delete(spark):
 
 def test_publish_replaces_what_it_reads(spark, tmp_path):
     path = str(tmp_path / "t")
-    store.publish(spark.range(3), path)
-    store.publish(spark.read.parquet(path).where("id > 0"), path)
-    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2]
-    assert len(list(tmp_path.iterdir())) == 1
+    assert store.publish(spark.range(3), path).count() == 3
+    assert [r.id for r in store.publish(store.VersionedTable(spark, path).read().where("id > 1"), path).collect()] == [2]
+
+
+def test_queries_and_log(spark):
+    have = spark.createDataFrame([(5, "a", "citation", "train"), (6, "b", "manual", "dev")], "query_id long, query_text string, origin string, split string")
+    new = spark.createDataFrame([("a", "test"), ("d", "test"), ("c", "train"), (None, "test"), ("c", "train")], "query_text string, split string")
+    key = lambda df: sorted(tuple(r) for r in df.select("query_id", "query_text", "origin", "split").collect())
+    derived, ids = store.upsert_queries(have, new, judged=False)
+    assert key(derived) == [(5, "a", "citation", "test"), (6, "b", "manual", "dev"), (7, "c", "citation", "train"), (8, "d", "citation", "test")]
+    assert {r.query_text: r.query_id for r in ids.collect()} == {"a": 5, "c": 7, "d": 8}
+    judged, _ = store.upsert_queries(have, new.limit(1), judged=True)
+    assert key(judged)[0] == (5, "a", "manual", "test")
+    assert store.upsert_queries(have.where("false"), new.where("false"), True)[0].count() == 0
+    log = spark.createDataFrame([("q", 1, "2024-01-01"), ("q", 2, "2024-01-02"), ("r", 9, "2024-01-01")], "query string, n_docs int, at string").select(
+        "query", "n_docs", F.to_timestamp("at").alias("fetched_at"))
+    more = log.where("query = 'r'").withColumn("n_docs", F.lit(3))
+    assert sorted((r.query, r.n_docs) for r in store.upsert_log(log, more).collect()) == [("q", 2), ("r", 3)]
+
 
 
 def test_numbering(spark):
