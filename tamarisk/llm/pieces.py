@@ -3,11 +3,11 @@
 Balanced targets: the least number of pieces is computed, their ends are set at
 equal distances, and each end moves to the strongest boundary near it (blank
 line, sentence end, line or clause end, white space; within a strength the
-nearest, then the earlier). If a piece then breaks a limit, or a cut found no
-boundary, there is one piece more, up to two. Where that doesn't help, a long
-stretch without pauses lies across the targets, and the item is cut at the last
-boundary that fits, piece by piece, if that cuts fewer stretches. Every piece
-but the first repeats the last ``overlap`` characters of the one before.
+nearest, then the earlier). As long as a piece breaks a limit, or a cut finds no
+boundary, there is one piece more, up to twice as many. Where none of these cuts at
+pauses only, a long stretch without pauses lies across the targets, and the item is
+cut at the last boundary that fits, piece by piece, if that cuts fewer stretches. Every
+piece but the first repeats the last ``overlap`` characters of the one before.
 
 One item is handled alone and in time linear in its length, so this is a plain
 map over Arrow batches: no shuffle at all beside the one that keeps repeated
@@ -80,45 +80,53 @@ def _reach(strength: np.ndarray, length: int, limit: int, overlap: tuple[int, in
     return [*spans, (start, length)]
 
 
-def piece_spans(text: str, limit: int, overlap: tuple[int, int] = (100, 200)) -> list[tuple[int, int]]:
-    """Half-open spans, each at most ``limit`` long; the whole text if it fits."""
+def longest_stretch(strength: np.ndarray, text: str) -> int:
+    """The most characters that follow each other without white space or . ! ? ; 。"""
+    pauses = [(0, 0), *(m.span() for m in _PAUSES[0][1].finditer(text)), (len(text), len(text))]
+    return max(b[0] - a[1] for a, b in zip(pauses, pauses[1:]))
+
+
+def cut_item(text: str, limit: int, overlap: tuple[int, int] = (100, 200)) -> tuple[list[tuple[int, int]], str]:
+    """(spans, cut): half-open spans, each at most ``limit`` long, the whole text if it fits; cut is
+    'forced' where no set of pieces within the limit can end at pauses only, as a stretch
+    between two pauses is longer than the limit, else 'natural'."""
     if limit < 3 * overlap[1]:
         raise ValueError("the limit must be three overlaps at least")
     length = len(text)
-    if length <= limit:
-        return [(0, length)]
     strength = boundaries(text)
+    cut = "forced" if longest_stretch(strength, text) > limit else "natural"
+    if length <= limit:
+        return [(0, length)], cut
     forced = lambda spans: sum(strength[z] == 0 for _, z in spans[:-1])
-    n = math.ceil((length - overlap[1]) / (limit - overlap[1]))
+    least = math.ceil((length - overlap[1]) / (limit - overlap[1]))
     found: list[list[tuple[int, int]]] = []
-    while len(found) < 3:
+    for n in range(least, 2 * least + 2):
         if (spans := _cut(strength, length, n, limit, overlap)) is not None:
             if not forced(spans):
-                return spans
+                return spans, cut
             found.append(spans)
-        n += 1
-    return min([*found, _reach(strength, length, limit, overlap)], key=lambda s: (forced(s), len(s)))
+            if cut == "forced" and len(found) == 3:  # more pieces can't mend it
+                break
+    return min([*found, _reach(strength, length, limit, overlap)], key=lambda s: (forced(s), len(s))), cut
 
 
-def has_long_stretch(text: str, limit: int) -> bool:
-    """Whether more than ``limit`` characters follow each other without white space or . ! ? ; 。"""
-    return re.search(r"[^\s.!?;。]{%d}" % (limit + 1), text) is not None
+def piece_spans(text: str, limit: int, overlap: tuple[int, int] = (100, 200)) -> list[tuple[int, int]]:
+    return cut_item(text, limit, overlap)[0]
 
 
 def split_oversized(items: DataFrame, id_col: str, text_col: str, limit: int, overlap: tuple[int, int] = (100, 200)) -> DataFrame:
     """(item_id, n_chars, cut, pieces) of each item over its limit in code points.
 
-    cut is 'forced' if a stretch longer than the limit has no pause, else 'natural'.
+    Both come from one cutting of the item (see ``cut_item``).
     Null, empty and short texts and null ids do not come out. A repeated id comes
     out once, with the smallest of its texts over the limit.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [
-                (i, len(t), "forced" if has_long_stretch(t, limit) else "natural",
-                 [{"start": a, "stop": z, "text": t[a:z]} for a, z in piece_spans(t, limit, overlap)])
-                for i, t in zip(b["item_id"], b["text"], strict=True)
-            ]
+            rows = []
+            for i, t in zip(b["item_id"], b["text"], strict=True):
+                spans, cut = cut_item(t, limit, overlap)
+                rows.append((i, len(t), cut, [{"start": a, "stop": z, "text": t[a:z]} for a, z in spans]))
             yield pd.DataFrame(rows, columns=["item_id", "n_chars", "cut", "pieces"])
 
     over = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where(

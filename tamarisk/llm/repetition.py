@@ -2,16 +2,18 @@
 
 Per document the operator measures how much of it repeats earlier parts, as a
 vector: words inside repeated 8-word runs, words inside repeated 3-word runs,
-characters of repeated sentences and of repeated lines. The shares are
-transformed (arcsine of the root), and per language and source a robust centre
-and scatter are estimated by the minimum covariance determinant (Rousseeuw and
-Van Driessen, Technometrics 1999; started from medians, as in Hubert, Rousseeuw
-and Verdonck, 2012). Documents far from them in Mahalanobis distance, on the
-side of more repetition, are rejected.
-
-A concentration step is two aggregates per group (a quantile, then moments), so
-a group of any size spreads over all tasks. Groups of under ``least`` documents
-share one estimate.
+characters of repeated sentences, of repeated lines and of repeated paragraphs. The
+shares are transformed (arcsine of the root), and per language and source a robust
+centre and scatter are estimated by the minimum covariance determinant (Rousseeuw and
+Van Driessen, Technometrics 1999): from several deterministic starts (as in Hubert,
+Rousseeuw and Verdonck, 2012) concentration steps run until no determinant falls any
+more, the least is kept, and one reweighting step follows. A floor under the scatter
+keeps the determinant above 0 where most documents repeat nothing (Boudt et al., 2020).
+Documents far from the centre in Mahalanobis distance, on the side of more
+repetition, are outliers; they, and those over the share that is too much anywhere, are rejected.
+
+All starts of all groups take their steps together; a step is two aggregates (a
+quantile, then moments), so a group of any size spreads over all tasks.
 """
 
 from __future__ import annotations
@@ -29,10 +31,12 @@ from pyspark.sql import functions as F
 from tamarisk.functions.words import word_list
 from tamarisk.plans.materialise import cut, written
 
-STATS = ("run8", "run3", "sentences", "lines")
+STATS = ("run8", "run3", "sentences", "lines", "paragraphs")
 _D = len(STATS)
-CHI2_MEDIAN, CHI2_CUT = 3.357, 18.467  # fixed values: quantiles 0.5 and 0.999 of chi-square, 4 degrees of freedom
+CHI2_MEDIAN, CHI2_NEAR, CHI2_CUT = 4.351, 12.833, 20.515  # fixed values: quantiles 0.5, 0.975 and 0.999 of chi-square, 5 degrees of freedom
+ACCURACY = 100_000  # of approximate quantiles: exact up to as many rows
 NOISE = 0.05  # differences of a transformed share under this count for little
+_PARAGRAPH = re.compile(r"\n[^\S\n]*\n")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s*")
 
 
@@ -86,7 +90,7 @@ def _said_before(parts: list[str]) -> float:
 
 
 def repetition_stats(documents: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, n_words, run8, run3, sentences, lines) of every row.
+    """(doc_id, lang, source, n_words, run8, run3, sentences, lines, paragraphs) of every row.
 
     A null or empty text has 0 words and repeats nothing. Whole texts are read.
     """
@@ -95,7 +99,7 @@ def repetition_stats(documents: DataFrame) -> DataFrame:
             rows = []
             for text in b["text"]:
                 h = hashed(word_list(text))
-                rows.append((len(h), repeated_share(h, 8), repeated_share(h, 3), _said_before(_SENTENCE.split(text or "")), _said_before((text or "").split("\n"))))
+                rows.append((len(h), repeated_share(h, 8), repeated_share(h, 3), _said_before(_SENTENCE.split(text or "")), _said_before((text or "").split("\n")), _said_before(_PARAGRAPH.split(text or ""))))
             out = pd.DataFrame(rows, columns=["n_words", *STATS])
             for k, c in enumerate(("doc_id", "lang", "source")):
                 out.insert(k, c, b[c].to_numpy())
@@ -107,16 +111,24 @@ def repetition_stats(documents: DataFrame) -> DataFrame:
     return kept.mapInPandas(run, "doc_id long, lang string, source string, n_words long, " + ", ".join(f"{c} double" for c in STATS))
 
 
+def _solved(n: float, sums: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Centre, inverse scatter and determinant, from moments."""
+    m = np.asarray(sums) / n
+    c = np.asarray(products).reshape(_D, _D) / n - np.outer(m, m) + np.eye(_D) * NOISE**2
+    return m, np.linalg.inv(c), float(np.linalg.det(c))
+
+
 def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Moments of each group (one row) to centre and inverse scatter."""
+    """Moments of each group and start (one row) to centre, inverse scatter and determinant."""
     for b in batches:
         rows = []
         for r in b.itertuples(index=False):
-            n, m = r.n, np.array(r.s) / r.n
-            c = np.array(r.p).reshape(_D, _D) / n - np.outer(m, m)
-            c += np.eye(_D) * NOISE**2  # a share that never varies would leave c singular
-            rows.append((r.grp, m.tolist(), np.linalg.inv(c).ravel().tolist()))
-        yield pd.DataFrame(rows, columns=["grp", "centre", "inverse"])
+            m, inverse, det = _solved(r.n, r.s, r.p)
+            rows.append((r.grp, r.start, m.tolist(), inverse.ravel().tolist(), det))
+        yield pd.DataFrame(rows, columns=["grp", "start", "centre", "inverse", "det"])
+
+
+ESTIMATE = "grp string, start int, centre array<double>, inverse array<double>, det double"
 
 
 def _distance() -> Column:
@@ -124,35 +136,77 @@ def _distance() -> Column:
     return sum((F.col("inverse")[i * _D + j] * d[i] * d[j] for i in range(_D) for j in range(_D)), F.lit(0.0))
 
 
-def repetition_outliers(documents: DataFrame, min_words: int = 20, threshold: float = 0.3, keep: float = 0.75,
-                        steps: int = 3, least: int = 200) -> DataFrame:
-    """(doc_id, lang, source, n_words, share, distance, outlier, over) of documents with at
+def _moments(rows: DataFrame, *by: str) -> DataFrame:
+    t = [F.col(f"t_{c}") for c in STATS]
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(x) for x in t]).alias("s"), F.array(*[F.sum(x * y) for x in t for y in t]).alias("p"))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Four deterministic estimates a group: medians with unit scatter; medians with the median
+    absolute deviations; mean and covariance; and no repetition at all with the scatter of directions
+    from the medians (spatial signs)."""
+    t = [F.col(f"t_{c}") for c in STATS]
+    mid = rows.groupBy("grp").agg(F.array(*[F.percentile_approx(x, 0.5, ACCURACY) for x in t]).alias("mid"))
+    off = rows.join(mid, "grp")
+    dev = off.groupBy("grp", "mid").agg(F.array(*[F.percentile_approx(F.abs(x - F.col("mid")[i]), 0.5, ACCURACY) for i, x in enumerate(t)]).alias("mad"))
+    size = F.sqrt(sum(((x - F.col("mid")[i]) ** 2 for i, x in enumerate(t)), F.lit(0.0)))
+    signs = off.where(size > 0).select("grp", *[((x - F.col("mid")[i]) / size).alias(f"t_{c}") for (i, x), c in zip(enumerate(t), STATS, strict=True)])
+    diagonal = lambda entry: F.array(*[entry(i) if i == j else F.lit(0.0) for i in range(_D) for j in range(_D)])
+    given = lambda start, df, centre, inverse: df.select("grp", F.lit(start).alias("start"), centre.alias("centre"), inverse.alias("inverse"), F.lit(float("inf")).alias("det"))
+    plain = given(0, dev, F.col("mid"), diagonal(lambda i: F.lit(1 / NOISE**2)))
+    scaled = given(1, dev, F.col("mid"), diagonal(lambda i: 1 / ((F.col("mad")[i] * 1.4826) ** 2 + NOISE**2)))
+    whole = _moments(rows, "grp").withColumn("start", F.lit(2)).mapInPandas(_solve, ESTIMATE).withColumn("det", F.lit(float("inf")))
+    turned = _moments(signs, "grp").withColumn("start", F.lit(3)).mapInPandas(_solve, ESTIMATE).select(
+        "grp", "start", F.array(*[F.lit(0.0)] * _D).alias("centre"), "inverse", F.lit(float("inf")).alias("det"))
+    return plain.unionByName(scaled).unionByName(whole).unionByName(turned)
+
+
+def least_determinant(rows: DataFrame, keep: float = 0.75, most_steps: int = 30) -> DataFrame:
+    """(grp, start, centre, inverse, det): per group the estimate of least determinant, from rows with a
+    grp and transformed statistics. Steps go on until no start of any group gains by one
+    (a step never raises a determinant), ``most_steps`` at most."""
+    now = cut(_starts(rows))
+    done = None
+    for _ in range(most_steps):
+        far = rows.join(now.select("grp", "start", "centre", "inverse"), "grp").withColumn("d", _distance())
+        edge = far.groupBy("grp", "start").agg(F.percentile_approx("d", keep, ACCURACY).alias("edge"))
+        new = _moments(far.join(edge, ["grp", "start"]).where("d <= edge"), "grp", "start").mapInPandas(_solve, ESTIMATE)
+        new = cut(new.join(now.select("grp", "start", F.col("det").alias("was")), ["grp", "start"]))
+        still = F.col("det") < F.col("was") * (1 - 1e-6)
+        settled = new.where(~still).drop("was")
+        done = settled if done is None else done.unionByName(settled)
+        now = new.where(still).drop("was")
+        if now.isEmpty():
+            break
+    else:
+        done = done.unionByName(now)
+    best = F.min_by(F.struct("start", "centre", "inverse", "det"), F.struct("det", "start"))
+    return cut(done.groupBy("grp").agg(best.alias("b")).select("grp", "b.*"))
+
+
+def repetition_outliers(documents: DataFrame, min_words: int = 20, threshold: float = 0.3, keep: float = 0.75) -> DataFrame:
+    """(doc_id, lang, source, n_words, share, distance, outlier, over, rejected) of documents with at
     least ``min_words`` words.
 
     share is that of words inside repeated 8-word runs; over: share >= threshold;
     distance: the squared robust distance within language and source; outlier: it is
-    beyond the 0.999 quantile of chi-square, with more repetition than the centre.
-    Null languages form one group ('und'), and so do null sources. Equal documents
-    get equal values. An empty table gives an empty result.
+    beyond the 0.999 quantile of chi-square, with more repetition than the centre; rejected: either.
+    Every language and source has its own estimate, however few documents it has (one of
+    a single document is its centre: no outlier). Null languages form one group ('und'), and
+    so do null sources. Equal documents get equal values. An empty table gives an empty result.
     """
-    rows = repetition_stats(documents).where(F.col("n_words") >= min_words)
-    turned = rows.select("*", *[F.asin(F.sqrt(c)).alias(f"t_{c}") for c in STATS], F.concat_ws("/", "lang", "source").alias("own"))
+    stats = repetition_stats(documents).where(F.col("n_words") >= min_words)
+    turned = stats.select("doc_id", "lang", "source", "n_words", "run8", *[F.asin(F.sqrt(c)).alias(f"t_{c}") for c in STATS], F.concat_ws("/", "lang", "source").alias("grp"))
     rows = written(turned, "repetition")
-    size = rows.groupBy("own").agg(F.count(F.lit(1)).alias("n")).select("own", F.when(F.col("n") >= least, F.col("own")).otherwise("*").alias("grp"))
-    rows = rows.join(size, "own")
-    mid = rows.groupBy("grp").agg(F.array(*[F.percentile_approx(f"t_{c}", 0.5) for c in STATS]).alias("centre"))
-    mid = mid.withColumn("inverse", F.array(*[F.lit(25.0 if i == j else 0.0) for i in range(_D) for j in range(_D)]))
-    t = [F.col(f"t_{c}") for c in STATS]
-    for _ in range(steps):
-        far = rows.join(mid, "grp").withColumn("d", _distance())
-        near = far.groupBy("grp").agg(F.percentile_approx("d", keep).alias("edge"))
-        moments = far.join(near, "grp").where("d <= edge").groupBy("grp").agg(
-            F.count(F.lit(1)).alias("n"), F.array(*[F.sum(x) for x in t]).alias("s"), F.array(*[F.sum(x * y) for x in t for y in t]).alias("p"))
-        mid = cut(moments.mapInPandas(_solve, "grp string, centre array<double>, inverse array<double>"))
-    far = rows.join(mid, "grp").withColumn("d", _distance())
-    scale = far.groupBy("grp").agg(F.greatest(F.percentile_approx("d", 0.5) / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
+    raw = rows.join(least_determinant(rows, keep).drop("start", "det"), "grp").withColumn("d", _distance())
+    # a subset's scatter is under that of all, so distances are scaled down to a chi-square's median, never up
+    scale = lambda df: df.groupBy("grp").agg(F.greatest(F.percentile_approx("d", 0.5, ACCURACY) / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
+    near = raw.join(scale(raw), "grp").where(F.col("d") <= F.col("scale") * CHI2_NEAR)
+    final = cut(_moments(near, "grp").withColumn("start", F.lit(0)).mapInPandas(_solve, ESTIMATE).drop("start", "det"))
+    far = rows.join(final, "grp").withColumn("d", _distance())
     distance = F.col("d") / F.col("scale")
-    more = F.greatest(*[x - F.col("centre")[i] for i, x in enumerate(t)]) > 0
-    return far.join(scale, "grp").select(
+    more = F.greatest(*[F.col(f"t_{c}") - F.col("centre")[i] for i, c in enumerate(STATS)]) > 0
+    judged = far.join(scale(far), "grp").select(
         "doc_id", "lang", "source", "n_words", F.col("run8").alias("share"), distance.alias("distance"),
         ((distance > CHI2_CUT) & more).alias("outlier"), (F.col("run8") >= threshold).alias("over"))
+    return judged.withColumn("rejected", F.col("outlier") | F.col("over"))

@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tamarisk.functions.words import word_list
-from tamarisk.llm.survivors import best_representatives, duplicate_groups, normal_doi, value_precedence
+from tamarisk.llm.survivors import best_representatives, duplicate_groups, follows, normal_doi, value_precedence
 from tamarisk.llm.terms import TOTAL, TermCounts, marks, merge_counts, record_rows, signed_changes, term_deltas, term_table
 
 DOC = ("doc_id long, source string, pmid string, pmcid string, doi string, title string, abstract string, journal string, pub_year int, cited_by int, "
@@ -54,6 +54,34 @@ def test_currency(spark):
     assert value_precedence(v).count() == 0  # as often either way
 
 
+def test_currency_is_closed(spark):
+    """Order reaches over values a group lacks; a group's own times and numbers count as such; cycles don't."""
+    rows, i = [], 0
+
+    def group(*members):
+        nonlocal i
+        i += 100
+        for n, (journal, day, cited) in enumerate(members):
+            rows.append(doc(i + n, i if n else None, day=day, journal=journal, cited_by=cited))
+        return i
+
+    for pair in ("AB", "BC", "CD", "XY", "YZ", "ZX"):  # three groups teach each; X, Y, Z go round
+        for _ in range(3):
+            group((pair[0], 1, None), (pair[1], 2, None))
+    lacking = group(("A", None, None), ("C", None, None))
+    far = group(("A", None, None), ("D", 5, None))
+    own = group(("C", 1, None), ("B", 2, None))  # its own times say otherwise
+    circle = group(("X", None, None), ("Z", None, None))
+    numbers = group((None, None, 9), (None, None, 10))  # as text 9 would be the greater
+    timed = group((None, 2, 9), (None, 1, 10))
+    got = {r.group_id: r for r in best_representatives(spark.createDataFrame(rows, DOC)).collect()}
+    assert [got[g].current_journal for g in (lacking, far, own, circle)] == ["C", "D", "B", "X"]
+    assert (got[numbers].current_cited_by, got[timed].current_cited_by) == ("10", "9")
+    chain = spark.createDataFrame([("f", f"{k:02}", f"{k + 1:02}") for k in range(12)], "field string, earlier string, later string")
+    pairs = spark.createDataFrame([("f", "00", f"{k:02}") for k in range(13)] + [("f", "05", "03"), ("f", "05", "07")], "field string, value string, other string")
+    assert {(r.value, r.other) for r in follows(pairs, chain).collect()} == {("00", f"{k:02}") for k in range(1, 9)} | {("05", "07")}
+
+
 def plain_counts(records):
     texts = {}
     for i, t in records:

@@ -1,12 +1,14 @@
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tamarisk.functions.words import word_list
 from tamarisk.llm.mixture import mix_sources
-from tamarisk.llm.pieces import has_long_stretch, piece_spans, split_oversized
-from tamarisk.llm.repetition import hashed, repeated_share, repetition_outliers
+from tamarisk.llm.pieces import cut_item, piece_spans, split_oversized
+from tamarisk.llm.repetition import ACCURACY, NOISE, STATS, hashed, least_determinant, repeated_share, repetition_outliers
 from tamarisk.llm.tokens import BYTE_BPE, byte_table, decode_ids, decoded, encode_ids, encode_table, offsets_table, token_count, token_offsets, tokenizer
 
 TEXTS = ["", None, " ", "plain words here", "naïve café — 中文字符 🧬🧬 ​﻿", "<|endoftext|> is text", "a" * 5000, "x\r\n\r\n\ty  z", "퟿ é é", "ｆｕｌｌ　ｗｉｄｔｈ"]
@@ -51,7 +53,8 @@ def test_oversized(spark):
     assert {i: r.cut for i, r in got.items()} == {1: "natural", 2: "forced", 6: "natural", 7: "forced"}
     assert got[1].n_chars == 800 and all(p.text == ("w " * 400)[p.start : p.stop] for p in got[1].pieces)
     assert split_oversized(df.where("false"), "pid", "body", 600).count() == 0
-    assert has_long_stretch("a" * 11, 10) and not has_long_stretch("a" * 10 + "." + "a" * 10, 10)
+    for text, limit, want in (("a" * 601, 600, "forced"), ("a" * 600 + "." + "a" * 600, 600, "natural"), ("a b " * 300 + "c" * 601, 600, "forced"), ("short", 600, "natural")):
+        assert cut_item(text, limit)[1] == want == ("forced" if re.search(r"[^\s.!?;。]{%d}" % (limit + 1), text) else "natural")
 
 
 def test_tokens(spark):
@@ -139,3 +142,38 @@ def test_repetition(spark):
     assert all(got[i].outlier for i, *_ in rows if i in got and got[i].share > 0.8)
     assert repetition_outliers(df.where("false")).count() == 0
     assert repeated_share(hashed(["a"] * 16), 8) == 15 / 16 and repeated_share(hashed(["a"] * 9), 8) == 8 / 9 and repeated_share(hashed(["a"] * 8), 8) == 0.0
+
+
+def fast_mcd(x, h, tries=60):
+    """The plain algorithm: many random starts, steps to the end, the least determinant (with the same floor)."""
+    rng, best = np.random.default_rng(0), None
+    d = x.shape[1]
+    for _ in range(tries):
+        c = x[rng.choice(len(x), d + 1, replace=False)]
+        last = np.inf
+        while True:
+            m, s = c.mean(0), np.cov(c.T, bias=True) + np.eye(d) * NOISE**2
+            det = np.linalg.det(s)
+            if len(c) == h and det > last * (1 - 1e-9):
+                break
+            last = det if len(c) == h else last
+            far = np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(s), x - m)
+            c = x[np.argsort(far, kind="stable")[:h]]
+        if best is None or last < best[0]:
+            best = (last, m)
+    return best
+
+
+def test_least_determinant(spark):
+    """Against many random starts; a third of the points of one group are planted far off."""
+    rng = np.random.default_rng(4)
+    d = len(STATS)
+    groups = {"a": rng.normal(0.4, 0.08, (150, d)), "b": np.concatenate([rng.normal(0.2, 0.05, (100, d)), rng.normal(1.2, 0.02, (33, d))]), "c": np.zeros((40, d)), "d": rng.normal(0.3, 0.1, (1, d))}
+    rows = [(g, *map(float, r)) for g, x in groups.items() for r in x]
+    df = spark.createDataFrame(rows, "grp string, " + ", ".join(f"t_{c} double" for c in STATS))
+    got = {r.grp: r for r in least_determinant(df).collect()}
+    for g, x in groups.items():
+        h = int(np.ceil(0.75 * len(x)))
+        det, centre = fast_mcd(x, h) if len(x) > d + 1 else (NOISE ** (2 * d), x[0])
+        assert got[g].det <= det * 1.05 and np.abs(np.array(got[g].centre) - centre).max() < 0.03, g
+    assert ACCURACY >= 10_000 and len({r.grp for r in got.values()}) == 4
