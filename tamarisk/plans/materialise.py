@@ -3,8 +3,8 @@
 A lost executor must not lose results, so nothing here keeps blocks on one
 machine: iterative operators checkpoint, and expensive stages that are read
 more than once are written as Parquet, both into the folder the cluster names
-in ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) a
-temporary folder is used.
+in ``spark.checkpoint.dir``. Only where that is unset and everything runs on one
+machine (tests, a laptop) a temporary folder is used; a cluster without it is refused.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     held = sc.getCheckpointDir()
     if held is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="tamarisk-")
         sc.setCheckpointDir(own)
         held = sc.getCheckpointDir()
@@ -49,15 +51,21 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def folder(spark: SparkSession, name: str = "table") -> str:
+    """A new path in the shared folder; what is written there is deleted when the process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/tamarisk-{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """The table written as Parquet into the shared folder, and read from there.
 
     Each call writes a folder of its own; it is deleted when the process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tamarisk-{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
