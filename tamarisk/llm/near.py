@@ -18,8 +18,9 @@ Copies are one class (a 64-bit hash of the set), so they are compared once.
 Small buckets propose all their pairs. Of a large one each member is first
 paired with the bucket's smallest and its own neighbour; what these connect
 needs no further pair, and then only members outside the bucket's main
-component are paired with the others. Nothing is capped, and a group of nearly
-equal records costs pairs in proportion to its size.
+component are compared with the others: fingerprint by fingerprint, in blocks that are
+salted over tasks, of which only pairs within reach come out. Nothing is capped, and a
+group of nearly equal records costs pairs in proportion to its size.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -194,6 +196,39 @@ def _discard(pairs: DataFrame, feats: DataFrame, reach: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "pb", "fa", "fb").mapInArrow(run, "a long, b long")
 
 
+def _within_reach(placed: DataFrame, marks: DataFrame, reach: int, block: int = 4096) -> DataFrame:
+    """(a, b): of each bucket (band, cls, component, main) the pairs of a member outside the main
+    component and one of another component that neither pivots nor fingerprints rule out.
+
+    A bucket is a grid of blocks, by salts, so one of any size spreads over all tasks; the pairs
+    of a block are looked at where they meet, and only those within reach leave it."""
+    def compare(t: pa.Table) -> pa.Table:
+        asks, others = t.filter(t.column("ask")), t.filter(pc.invert(t.column("ask")))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        if asks.num_rows and others.num_rows:
+            get = lambda x, name: np.frombuffer(b"".join(x.column(name).to_pylist()), np.uint8).reshape(x.num_rows, -1)
+            fa, fb = (np.ascontiguousarray(get(x, "fp")).view(np.uint64) for x in (asks, others))
+            pa_, pb = get(asks, "pivots").astype(np.int16), get(others, "pivots").astype(np.int16)
+            (ca, ka), (cb, kb) = ((x.column("cls").to_numpy(), x.column("component").to_numpy()) for x in (asks, others))
+            for k in range(len(ca)):
+                at = np.flatnonzero(kb != ka[k])
+                at = at[np.abs(pb[at] - pa_[k]).max(axis=1, initial=0) <= reach] if len(at) else at
+                at = at[np.bitwise_count(fb[at] ^ fa[k]).sum(axis=1) <= reach]
+                found.append((np.full(len(at), ca[k]), cb[at]))
+        x, y = (np.concatenate([np.empty(0, np.int64), *side]) for side in (zip(*found) if found else ((), ())))
+        return pa.Table.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    outside = F.col("component") != F.col("main")
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
+    sizes = placed.groupBy("band").agg(parts(F.count_if(outside)).alias("qs"), parts(F.count(F.lit(1))).alias("ms"), F.count_if(outside).alias("n")).where("n > 0").drop("n")
+    rows = placed.join(sizes, "band").join(marks, "cls")
+    salt = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "cls"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where(outside).select("band", salt(1, "qs").alias("qi"), every("ms").alias("mi"), F.lit(True).alias("ask"), "cls", "component", "fp", "pivots")
+    right = rows.select("band", every("qs").alias("qi"), salt(2, "ms").alias("mi"), F.lit(False).alias("ask"), "cls", "component", "fp", "pivots")
+    return left.unionByName(right).groupBy("band", "qi", "mi").applyInArrow(compare, "a long, b long").distinct()
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, n: int, min_words: int, threshold: float) -> DataFrame:
     """The pairs whose whole texts are alike."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,9 +280,7 @@ def near_duplicate_groups(documents: DataFrame, id_col: str = "doc_id", content:
         placed = written(large.join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "near")
         main = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(
             F.max_by("component", F.struct("n", "component")).alias("main"))
-        out = placed.join(main, "band").where("component <> main").select("band", F.col("cls").alias("x"), F.col("component").alias("cx"))
-        more = out.join(placed, "band").where("cx <> component").select(
-            F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()
+        more = _within_reach(placed.join(main, "band"), marks, reach)
         edges = edges.unionByName(alike(more))
         comp = written(connected_components(edges, "a", "b").withColumnRenamed("node", "cls"), "near")
     grouped = feats.select("id", "cls").join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls"))

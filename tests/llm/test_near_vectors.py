@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamarisk.functions.words import word_list
-from tamarisk.llm.near import SMALL, Sketch, _meet, group_pairs, near_duplicate_groups
+from tamarisk.llm.near import SMALL, Sketch, _meet, _within_reach, group_pairs, near_duplicate_groups
 from tamarisk.llm.vectors import LEVELS, Quantiser, _best, _pack, _unpack, most_similar, neighbour_pairs
 
 import pyarrow as pa
@@ -69,6 +69,30 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sorted(tuple(r) for r in group_pairs(g).collect()) == [(1, 2), (1, 3), (2, 3), (4, 5)]
 
 
+@pytest.mark.parametrize("block", [5, 4096])
+def test_large_buckets_in_blocks(spark, block):
+    """Of a bucket's pairs those within reach come out, whichever blocks they fall into."""
+    rng = np.random.default_rng(3)
+    sizes, reach = {1: 40, 2: 13}, 3
+    fps = rng.integers(0, 256, (60, 32), dtype=np.uint8)
+    fps[1::3] = fps[::3]
+    fps[1::3, 0] ^= 1
+    refs = rng.integers(0, 256, (8, 32), dtype=np.uint8)
+    pivots = np.stack([np.minimum(np.bitwise_count(refs ^ f).sum(axis=1), 255).astype(np.uint8) for f in fps])
+    rows, want = [], set()
+    for band, n in sizes.items():
+        for c in range(n):
+            rows.append((band, c, c if c % 4 else 0, 0))
+        for a in range(n):
+            for b in range(n):
+                ka, kb = (a if a % 4 else 0), (b if b % 4 else 0)
+                if ka != 0 and ka != kb and np.bitwise_count(fps[a] ^ fps[b]).sum() <= reach:
+                    want.add((min(a, b), max(a, b)))
+    placed = spark.createDataFrame(rows, "band long, cls long, component long, main long")
+    marks = spark.createDataFrame([(i, bytes(f), bytes(p)) for i, (f, p) in enumerate(zip(fps, pivots))], "cls long, fp binary, pivots binary")
+    assert {tuple(r) for r in _within_reach(placed, marks, reach, block).collect()} == want and want
+
+
 @pytest.mark.parametrize("batch", [1, 7, 1000])
 def test_meeting_in_buckets(batch):
     rng = np.random.default_rng(0)
