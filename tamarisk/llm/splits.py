@@ -10,7 +10,7 @@ Differencing looks at weights only, and equal weights are interchangeable. So
 the driver never sees components: it gets the number of components of each
 weight. n records have fewer than sqrt(2 n) distinct weights, a proven bound (a
 billion records: 45,000 rows). Full rounds of a weight over all bins cancel
-out exactly; only the remainders, fewer than bins a weight, are differenced.
+out exactly; only the remainders, one vector a weight, are differenced.
 The components of one weight are then numbered, in parallel, and take the
 weight's places in turn.
 """
@@ -18,7 +18,6 @@ weight's places in turn.
 from __future__ import annotations
 
 import heapq
-from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,6 +29,7 @@ from tamarisk.llm.survivors import duplicate_groups
 from tamarisk.operators.components import connected_components
 from tamarisk.plans.materialise import written
 
+PART = 100_000  # components numbered in one task, about
 TARGETS = (("train", 0.76), ("dev", 0.08), ("test", 0.16))
 
 
@@ -64,29 +64,44 @@ def related_queries(queries: DataFrame, contexts: DataFrame, documents: DataFram
 def differencing(weights: dict[int, int], bins: int) -> tuple[dict[int, np.ndarray], np.ndarray]:
     """Per weight, how many of its components go to each bin; and the bins' sums.
 
-    ``weights`` maps a weight to the number of components that have it.
+    ``weights`` maps a weight to the number of components that have it. Equal weights are
+    laid beside each other first (they differ most), so each weight enters as one vector
+    with an entry for each of its components beyond full rounds. A merge keeps its two
+    parts and an order of bins, not lists: memory and time are in proportion to the number
+    of different weights.
     """
     places = {w: np.full(bins, n // bins, dtype=np.int64) for w, n in weights.items()}
     sums = np.full(bins, sum(w * (n // bins) for w, n in weights.items()), dtype=np.int64)
-    tie, heap = count(), []
+    heap: list[tuple[int, int, np.ndarray]] = []
+    made: list[tuple] = []  # a leaf (weight, entries) or a merge (left, right, order)
     for w, n in sorted(weights.items(), reverse=True):
-        for _ in range(n % bins):
+        if n % bins:
             v = np.zeros(bins, dtype=np.int64)
-            v[-1] = w
-            heap.append((-w, next(tie), v, [[] for _ in range(bins - 1)] + [[w]]))
+            v[-(n % bins) :] = w
+            heap.append((-w, len(made), v))
+            made.append((w, n % bins))
     heapq.heapify(heap)
     while len(heap) > 1:  # the two with the widest spread, laid against each other
-        _, _, a, at = heapq.heappop(heap)
-        _, _, b, bt = heapq.heappop(heap)
-        v, held = a + b[::-1], [x + y for x, y in zip(at, reversed(bt), strict=True)]
-        order = np.argsort(v, kind="stable")
-        v, held = v[order], [held[i] for i in order]
-        heapq.heappush(heap, (-int(v[-1] - v[0]), next(tie), v, held))
+        _, x, a = heapq.heappop(heap)
+        _, y, b = heapq.heappop(heap)
+        v = a + b[::-1]
+        order = np.argsort(v, kind="stable").astype(np.int32)
+        v = v[order]
+        heapq.heappush(heap, (-int(v[-1] - v[0]), len(made), v))
+        made.append((x, y, order))
     if heap:
         sums = sums + heap[0][2]
-        for k, ws in enumerate(heap[0][3]):
-            for w in ws:
-                places[w][k] += 1
+        todo = [(heap[0][1], np.arange(bins))]  # a part, and the bin of each of its places
+        while todo:
+            i, at = todo.pop()
+            if len(made[i]) == 2:
+                w, r = made[i]
+                np.add.at(places[w], at[bins - r :], 1)
+            else:
+                x, y, order = made[i]
+                left, right = np.empty(bins, dtype=np.int64), np.empty(bins, dtype=np.int64)
+                left[order], right[bins - 1 - order] = at, at
+                todo += [(x, left), (y, right)]
     return places, sums
 
 
@@ -107,7 +122,9 @@ def assign_splits(related: DataFrame, targets: tuple[tuple[str, float], ...] = T
     can't be cut). The same input gives the same result. Empty in, empty out.
     """
     spark = related.sparkSession
-    sizes = written(related.groupBy("group_id").agg(F.count(F.lit(1)).alias("w")).withColumn("part", F.pmod(F.xxhash64("group_id"), F.lit(256))), "splits")
+    sizes = written(related.groupBy("group_id").agg(F.count(F.lit(1)).alias("w")), "splits")
+    many = max(1, sizes.count() // PART)
+    sizes = sizes.withColumn("part", F.pmod(F.xxhash64("group_id"), F.lit(many)))
     weights = {r.w: r.n for r in sizes.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not weights:
         return related.select("query_id", "group_id", F.col("split").alias("old_split"), F.col("split").alias("new_split"))
