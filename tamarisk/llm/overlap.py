@@ -7,7 +7,8 @@ the same join also runs over hashes of parts: of each record's set of distinct
 word hashes, rarest first, the shortest prefix of which two records of the
 wanted similarity must share two members (prefix filtering; Chaudhuri et al.,
 ICDE 2006; with two members, Wang, Li and Feng, SIGMOD 2012), and of that the
-hashes of all pairs: a pair of words is far rarer than a word. Where two meet,
+hashes of all pairs: a pair of words is far rarer than a word. (Sets of over ``PAIRED`` words, whose pairs
+would be too many, meet on single words, rarest first.) Where two meet,
 128-bit bitmaps of their sets tell at once if they differ in too many words
 (Sandes, Teodoro and Melo, VLDB J. 2020). Survivors are verified on the full
 sets, so the result is exact.
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from tamarisk.functions.words import words_text
 from tamarisk.plans.materialise import written
 
+PAIRED = 64  # words of a set up to which pairs of prefix words are hashed
+
 
 def canonical_records(queries: DataFrame, id_col: str = "query_id", text_col: str = "query_text",
                       split_col: str = "split", group_cols: tuple[str, ...] = ("origin",)) -> DataFrame:
@@ -65,14 +68,23 @@ def _class_pairs(records: DataFrame, train: str, evals: tuple[str, ...], thresho
     )
     # Similar sets share ceil(threshold * n) words of either, so they share ``common`` members of
     # prefixes that leave out all but ``common`` of those. Two single words are similar only if equal.
-    common = 2 if threshold > 0.5 else 1
-    keep = F.size("r") - F.ceil(F.lit(threshold) * F.size("r") - F.lit(1e-9)) + common
-    prefix = ranked.select("set_hash", F.size("r").alias("n"), F.slice(F.col("r.tok"), F.lit(1), keep.cast("int")).alias("pre"))
-    if common == 2:
+    # Pairs of prefix words are rarer than words, but their number grows with the square of a record:
+    # they serve sets up to PAIRED words, single words those beyond. Similar sets of which one is
+    # longer than PAIRED have both threshold * PAIRED words at least, so all of these give single words too.
+    n_words = F.size("r")
+    kept = n_words - F.ceil(F.lit(threshold) * n_words - F.lit(1e-9))
+    cut = lambda common: F.slice(F.col("r.tok"), F.lit(1), (kept + common).cast("int"))
+    one = F.when(n_words >= F.lit(threshold * PAIRED - 1e-9), F.transform(cut(1), lambda t: F.xxhash64(F.lit(1), t))).otherwise(F.array().cast("array<long>"))
+    two = F.transform(cut(1), lambda t: F.xxhash64(F.lit(1), t))
+    if threshold > 0.5:
         at = F.sequence(F.lit(1), F.size("pre") - 1)
         both = F.flatten(F.transform(at, lambda i: F.transform(
             F.slice("pre", i + 1, F.size("pre")), lambda y: F.xxhash64(F.element_at("pre", i.cast("int")), y))))
-        prefix = prefix.where("n > 1").select("set_hash", "n", both.alias("pre"))
+        short = F.when((F.col("n") > 1) & (F.col("n") <= PAIRED), both).otherwise(F.array().cast("array<long>"))
+        prefix = ranked.select("set_hash", n_words.alias("n"), F.when(n_words <= PAIRED, cut(2)).alias("pre"), one.alias("one"))
+        prefix = prefix.where("n > 1").select("set_hash", "n", F.concat(short, "one").alias("pre"))
+    else:
+        prefix = ranked.select("set_hash", n_words.alias("n"), two.alias("pre"))
     prefix = written(prefix.join(classes.select("set_hash", "is_train", "is_eval", "b0", "b1"), "set_hash"), "overlap")
     side = lambda flag, name: prefix.where(flag).select(
         F.col("set_hash").alias(f"{name}_hash"), F.col("n").alias(f"{name}_n"),
@@ -127,3 +139,21 @@ def overlap_report(queries: DataFrame, train: str = "train", evals: tuple[str, .
     )
     return rows.groupBy("split", *[F.col(f"g_{c}").alias(c) for c in group_cols]).agg(
         F.count(F.lit(1)).alias("n_records"), F.count("exact").alias("n_exact"), F.count("near").alias("n_near"))
+
+
+def overlap_classes(queries: DataFrame, train: str = "train", evals: tuple[str, ...] = ("dev", "test"), threshold: float = 0.7, **cols) -> DataFrame:
+    """(id, split, class_id, n_exact, n_links): one row a record, copies not expanded into pairs. Records of
+    equal word sets are one class, class_id its smallest id. n_links counts the records of the
+    other side that are similar at the threshold, n_exact those with the same words in the
+    same order (the hash of the whole record); a record without any has 0."""
+    rec = written(canonical_records(queries, **cols).where(F.col("split").isin(train, *evals)), "overlap")
+    rec = rec.groupBy("id").agg(F.min(F.struct("split", "set_hash", "canon_hash")).alias("r")).select("id", "r.*").withColumn("seen", F.col("split") == train)
+    rec = written(rec, "overlap")
+    sizes = rec.groupBy("set_hash").agg(F.min("id").alias("class_id"), F.count_if("seen").alias("nt"), F.count_if(~F.col("seen")).alias("ne"))
+    pairs = written(_class_pairs(rec.join(canonical_records(queries, **cols).select("set_hash", "toks").dropDuplicates(["set_hash"]), "set_hash"), train, evals, threshold), "overlap")
+    part = lambda own, other, n, seen: pairs.join(sizes.select(F.col("set_hash").alias(other), n), other).groupBy(F.col(own).alias("set_hash")).agg(
+        F.sum(n).alias("n_links")).withColumn("seen", F.lit(seen))
+    links = part("train_hash", "eval_hash", "ne", True).unionByName(part("eval_hash", "train_hash", "nt", False))
+    same = rec.groupBy("canon_hash").agg(F.count_if("seen").alias("ct"), F.count_if(~F.col("seen")).alias("ce"))
+    out = rec.join(sizes.select("set_hash", "class_id"), "set_hash").join(links, ["set_hash", "seen"], "left").join(same, "canon_hash")
+    return out.select("id", "split", "class_id", F.when(F.col("seen"), F.col("ce")).otherwise(F.col("ct")).alias("n_exact"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

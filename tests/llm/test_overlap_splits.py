@@ -1,10 +1,12 @@
 import random
+import time
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from tamarisk.functions.words import word_list
-from tamarisk.llm.overlap import cross_split_pairs, overlap_report
+from tamarisk.llm.overlap import PAIRED, cross_split_pairs, overlap_classes, overlap_report
 from tamarisk.llm.splits import TARGETS, assign_splits, bins_to_splits, differencing, related_queries, straddling
 from tamarisk.plans.materialise import written
 
@@ -35,6 +37,29 @@ def test_overlap_against_all_pairs(spark):
     assert set(rep) == {"dev", "test"} and all(r.n_exact <= r.n_near <= r.n_records for r in rep.values())
 
 
+def test_long_records(spark):
+    """Sets around and far over PAIRED words: exact, and hashes in proportion to their length."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([40, 60, 70, 90, 300, 3000]))]
+        rows.append((len(rows), " ".join(base), "m", "train"))
+        for keep in rng.sample([0.99, 0.86, 0.8, 0.72, 0.66], 2):
+            rows.append((len(rows), " ".join(w for w in base if rng.random() < keep) + " x", "m", rng.choice(["dev", "test"])))
+    df = spark.createDataFrame(rows, Q)
+    recs = [(i, s, frozenset(word_list(t))) for i, t, _, s in rows]
+    want = {(min(a, b), max(a, b)) for a, s, x in recs if s == "train" for b, r, y in recs if r != "train" and len(x & y) >= 0.7 * len(x | y) - 1e-9}
+    assert {tuple(r) for r in cross_split_pairs(df).collect()} == want and any(len(x) > 4 * PAIRED for _, _, x in recs)
+
+
+def test_classes(spark):
+    rows = [(1, "a b c d", "m", "train"), (2, "A b c d!", "m", "train"), (3, "d c b a", "m", "dev"), (4, "a b c d e", "m", "test"), (5, "zz", "m", "test"), (6, "", "m", "dev"),
+            (7, "a b c d", "m", "dev"), (7, "a b c d", "m", "dev")]
+    got = {r.id: (r.split, r.class_id, r.n_exact, r.n_links) for r in overlap_classes(spark.createDataFrame(rows, Q)).collect()}
+    assert got == {1: ("train", 1, 1, 3), 2: ("train", 1, 1, 3), 3: ("dev", 1, 0, 2), 4: ("test", 4, 0, 2), 5: ("test", 5, 0, 0), 7: ("dev", 1, 2, 2)}
+    assert overlap_classes(spark.createDataFrame([], Q)).count() == 0
+
+
 def test_hot_copies(spark):
     """A third of all rows are one text."""
     rows = [(i, "same words here", "m", "train" if i % 2 else "dev") for i in range(40)] + [(100 + i, f"other {i} text {i}", "m", "train") for i in range(80)]
@@ -66,6 +91,18 @@ def test_differencing():
         assert abs(sums[[k for k, t in enumerate(to) if t == name]].sum() / total - share) < 0.06
 
 
+def test_differencing_of_many_weights():
+    """As many different weights as a hundred million records can have: seconds, and little memory."""
+    weights = {w: 1 + w % 250 for w in range(1, 14_000)}
+    tracemalloc.start()
+    began = time.perf_counter()
+    places, sums = differencing(weights, 100)
+    took, (_, peak) = time.perf_counter() - began, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert took < 60 and peak < 200e6 and sums.max() - sums.min() <= 2
+    assert all(p.sum() == weights[w] and p.min() >= 0 for w, p in places.items()) and np.array_equal(sum(w * p for w, p in places.items()), sums)
+
+
 def test_assignment_keeps_groups_whole(spark):
     rng = random.Random(4)
     rows, i = [], 0
