@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarisk.llm import mixture, near, overlap, pieces, repetition, splits, survivors, terms, tokens, vectors
-from tamarisk.plans.materialise import written
+from tamarisk.plans.materialise import folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,10 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(_table(spark, d, "eval_queries"))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_classes(_table(spark, d, "eval_queries")).withColumnRenamed("id", "query_id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Every passage asks; the floor of the pairs wanted goes into the search."""
     found = vectors.most_similar(_table(spark, d, "passages"), "passage_id", "embedding", min_cosine=0.9)
@@ -75,8 +79,9 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
-    changes = terms.signed_changes(None, terms.record_rows(_table(spark, d, "passages")))
-    return terms.term_table(terms.merge_counts(None, terms.term_deltas(changes)))
+    """Persistent counts, first built as the delta from nothing."""
+    store = terms.TermCounts(spark, folder(spark, "counts"))
+    return terms.term_table(store.apply(terms.signed_changes(None, terms.record_rows(_table(spark, d, "passages"))), "all passages"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -87,6 +92,19 @@ def p6_lexeme_df(spark: SparkSession, d: str) -> DataFrame:
     return _terms(spark, d)
 
 
+def p6_after_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The same counts by another way: of an earlier state of the passages (some with another text,
+    some not there yet, some that were dropped since), then brought up to date by the signed delta."""
+    now = written(terms.record_rows(_table(spark, d, "passages")), "terms")
+    text = F.when(F.col("id") % 10 == 3, F.concat(F.lit("draft "), F.col("text"))).otherwise(F.col("text"))
+    before = now.where("id % 10 <> 4").select("id", text.alias("text")).unionByName(now.where("id % 10 = 5").select((-F.col("id") - 1).alias("id"), "text"))
+    store = terms.TermCounts(spark, folder(spark, "counts"))
+    store.apply(terms.signed_changes(None, before), "first build")
+    changes = terms.signed_changes(before, now)
+    store.apply(changes, "update")
+    return terms.term_table(store.apply(changes, "update"))  # a retry counts once
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     groups = near.near_duplicate_groups(_table(spark, d, "documents"), run=3, threshold=0.5)
     return near.group_pairs(groups).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
@@ -127,8 +145,8 @@ def p10_outliers(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        p1_found, p1_report, p2_found, p2_neighbours, p3_found, p3_golden, p4_found, p4_pieces, p5_found, p5_splits,
-        p6_found, p6_lexeme_df, p7_found, p7_groups, p8_ids, p8_offsets, p8_decoded, p9_mixture, p9_report, p10_found, p10_outliers)}
+        p1_found, p1_report, p1_classes, p2_found, p2_neighbours, p3_found, p3_golden, p4_found, p4_pieces, p5_found, p5_splits,
+        p6_found, p6_lexeme_df, p6_after_changes, p7_found, p7_groups, p8_ids, p8_offsets, p8_decoded, p9_mixture, p9_report, p10_found, p10_outliers)}
 
 
 P3_CTES = r"""WITH RECURSIVE link AS (SELECT d.doc_id AS a, d.canonical_doc_id AS b FROM documents d JOIN documents c ON c.doc_id = d.canonical_doc_id WHERE d.doc_id <> d.canonical_doc_id),

@@ -4,7 +4,7 @@ A change of the collection is a set of signed records: +1 for one that was
 added, -1 for one that was removed, both for one that changed. Only those are
 tokenised; they give each term a change in occurrences and in records, which is
 added to the persistent counts. A first build is the delta from nothing. The
-counts lie in a fixed number of hash partitions, so a merge is one aggregate.
+counts lie in hash buckets; a merge reads and writes the buckets its terms fall into.
 
 Words are counted per Arrow batch before anything is shuffled, so a term in a
 third of all records reaches the shuffle once a batch, not once a record.
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarisk.functions.words import word_list
+from tamarisk.operators.store import VersionedTable
 from tamarisk.plans.materialise import written
 
 STATE = "lexeme string, n_occ long, ndoc long"
@@ -28,9 +29,12 @@ TOTAL = ""  # the state's row that counts records: no term is empty
 
 def record_rows(records: DataFrame, id_col: str = "passage_id", text_col: str = "text") -> DataFrame:
     """(id, text): each id once, though it may be delivered again; of differing texts
-    the smallest counts, a null only if there is no other. A null id is no record."""
-    return records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null").groupBy("id").agg(
-        F.min("text").alias("text"))
+    the smallest counts, a null only if there is no other. A null id is no record. Ids are
+    shuffled, and the texts of those that repeat; the others stay where they are."""
+    rows = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    again = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    once = rows.join(again, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    return rows.join(again, "id", "left_anti").unionByName(once)
 
 
 def signed_changes(old: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -88,28 +92,27 @@ def merge_counts(state: DataFrame | None, deltas: DataFrame) -> DataFrame:
 
 
 class TermCounts:
-    """Counts that persist as Parquet in ``path``, in versions; the last complete one is read."""
+    """Counts that persist in ``path``: a versioned table in hash buckets of its terms.
 
-    def __init__(self, spark: SparkSession, path: str, partitions: int = 64) -> None:
-        self.spark, self.path, self.partitions = spark, path.rstrip("/"), partitions
+    A delta reads and writes only the buckets its terms fall into. Deltas have names, and one
+    that was applied (a retry after a failure) isn't applied again."""
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        done = (s.getPath() for s in fs.listStatus(root))
-        return sorted(int(p.getName()) for p in done if p.getName().isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
+        self.table = VersionedTable(spark, path, ("lexeme",), buckets)
 
     def read(self) -> DataFrame | None:
-        v = self._versions()
-        return self.spark.read.schema(STATE).parquet(f"{self.path}/{v[-1]}") if v else None
-
-    def apply(self, changes: DataFrame) -> DataFrame:
-        v = self._versions()
-        merged = merge_counts(self.read(), term_deltas(changes)).repartition(self.partitions, "lexeme")
-        merged.write.mode("overwrite").parquet(f"{self.path}/{v[-1] + 1 if v else 0}")
+        return self.table.read()
+
+    def applied(self) -> list[str]:
+        last = self.table.manifest()
+        return [] if last is None else last["facts"]["applied"]
+
+    def apply(self, changes: DataFrame, name: str) -> DataFrame:
+        done = self.applied()
+        if name not in done:
+            deltas = written(term_deltas(changes), "terms")
+            touched = self.table.touched(deltas)
+            self.table.commit(merge_counts(self.table.read(touched), deltas), touched, facts={"applied": [*done, name]})
         return self.read()
 
 

@@ -28,3 +28,8 @@ def test_query(spark, name):
         cur = con.execute(llm.oracle_sql()[name])
         order = [[c[0] for c in cur.description].index(c) for c in df.columns]
         assert sorted(rows) == sorted(tuple(r[i] for i in order) for r in cur.fetchall())
+
+
+def test_changed_counts_are_the_full_counts(spark):
+    rows = lambda name: sorted(tuple(r) for r in llm.queries()[name](spark, D).collect())
+    assert rows("p6_after_changes") == rows("p6_lexeme_df")

@@ -103,10 +103,12 @@ def test_counts_and_deltas(spark, tmp_path):
     store = TermCounts(spark, str(tmp_path / "counts"), 3)
     assert store.read() is None
     a, b = record_rows(df(old)), record_rows(df(new))
-    state = store.apply(signed_changes(None, a))
+    state = store.apply(signed_changes(None, a), "first")
     want, n = plain_counts(old)
     assert {r.lexeme: (r.n_occ, r.ndoc) for r in state.collect() if r.lexeme != TOTAL} == want
-    later = store.apply(signed_changes(a, b))
+    later = store.apply(signed_changes(a, b), "second")
+    again = store.apply(signed_changes(a, b), "second")  # a retry
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, later.collect())) and store.applied() == ["first", "second"]
     want, n = plain_counts(new)
     assert {r.lexeme: (r.n_occ, r.ndoc) for r in later.collect() if r.lexeme != TOTAL} == want
     assert [r.ndoc for r in later.collect() if r.lexeme == TOTAL] == [n]
@@ -116,6 +118,19 @@ def test_counts_and_deltas(spark, tmp_path):
     assert term_table(merge_counts(None, term_deltas(signed_changes(None, record_rows(df(old[:1]).where("false")))))).count() == 0
 
 
+def test_only_touched_buckets(spark, tmp_path):
+    store = TermCounts(spark, str(tmp_path / "counts"), 32)
+    df = lambda *texts: signed_changes(None, spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    store.apply(df(" ".join(f"w{k}" for k in range(300))), "a")
+    before = store.table.manifest()["folders"]
+    store.apply(df("w7"), "b")
+    after = store.table.manifest()["folders"]
+    assert 1 <= sum(before[b] != after[b] for b in before) <= 2  # the term's and the total's
+    assert {r.lexeme: r.ndoc for r in store.read().where("lexeme in ('w7', 'w8', '')").collect()} == {"w7": 2, "w8": 1, "": 2}
+    store.apply(signed_changes(spark.createDataFrame([(1, "w7 w9")], "id long, text string"), spark.createDataFrame([], "id long, text string")), "c")
+    assert {r.lexeme: r.ndoc for r in store.read().where("lexeme in ('w7', 'w9', '')").collect()} == {"w7": 1, "": 1}
+
+
 def test_both_marks(spark):
     t = term_table(merge_counts(None, term_deltas(signed_changes(None, spark.createDataFrame([(1, "only")], "id long, text string")))))
     assert {tuple(r) for r in marks(t).collect()} == {("only", "rare"), ("only", "common")}
