@@ -6,8 +6,8 @@ characters of repeated sentences, of repeated lines and of repeated paragraphs.
 shares are transformed (arcsine of the root), and per language and source a robust
 centre and scatter are estimated by the minimum covariance determinant (Rousseeuw and
 Van Driessen, Technometrics 1999): from several deterministic starts (as in Hubert,
-Rousseeuw and Verdonck, 2012) concentration steps run until no determinant falls any
-more, the least is kept, and one reweighting step follows. A floor under the scatter
+Rousseeuw and Verdonck, 2012) concentration steps run until no determinant falls by a
+thousandth, the least is kept, and one reweighting step follows. A floor under the scatter
 keeps the determinant above 0 where most documents repeat nothing (Boudt et al., 2020).
 Documents far from the centre in Mahalanobis distance, on the side of more
 repetition, are outliers; they, and those over the share that is too much anywhere, are rejected.
@@ -111,76 +111,92 @@ def repetition_stats(documents: DataFrame) -> DataFrame:
     return kept.mapInPandas(run, "doc_id long, lang string, source string, n_words long, " + ", ".join(f"{c} double" for c in STATS))
 
 
-def _solved(n: float, sums: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Centre, inverse scatter and determinant, from moments."""
-    m = np.asarray(sums) / n
-    c = np.asarray(products).reshape(_D, _D) / n - np.outer(m, m) + np.eye(_D) * NOISE**2
-    return m, np.linalg.inv(c), float(np.linalg.det(c))
+_UPPER = [(i, j) for i in range(_D) for j in range(i, _D)]
+_C, _U = [f"c{i}" for i in range(_D)], [f"u{i}" for i in range(len(_UPPER))]  # a centre, and the triangle that turns scatter into the unit
+ESTIMATE = "grp string, start int, " + ", ".join(f"{c} double" for c in (*_C, *_U)) + ", det double, falls boolean"
+GAIN = 1e-3  # share of a determinant by which a step must lower it for another to follow
+INF = float("inf")
+FEW = 20_000  # groups; estimates of so many (a few MB) may be broadcast
+
+
+def _triangle(scatter: np.ndarray) -> np.ndarray:
+    """The upper triangle U, row by row, with |U (x - centre)|^2 the squared distance."""
+    return np.linalg.cholesky(np.linalg.inv(scatter)).T[tuple(zip(*_UPPER, strict=True))]
 
 
 def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Moments of each group and start (one row) to centre, inverse scatter and determinant."""
+    """Moments of each group and start (one row) to centre, triangle and determinant; falls says
+    whether that is under the last one (``was``)."""
     for b in batches:
         rows = []
         for r in b.itertuples(index=False):
-            m, inverse, det = _solved(r.n, r.s, r.p)
-            rows.append((r.grp, r.start, m.tolist(), inverse.ravel().tolist(), det))
-        yield pd.DataFrame(rows, columns=["grp", "start", "centre", "inverse", "det"])
-
-
-ESTIMATE = "grp string, start int, centre array<double>, inverse array<double>, det double"
+            m, c = np.array([getattr(r, f"s{i}") for i in range(_D)]) / r.n, np.empty((_D, _D))
+            for k, (i, j) in enumerate(_UPPER):
+                c[i, j] = c[j, i] = getattr(r, f"p{k}") / r.n - m[i] * m[j]
+            c += np.eye(_D) * NOISE**2
+            det = float(np.linalg.det(c))
+            rows.append((r.grp, r.start, *m, *_triangle(c), det, det < r.was * (1 - GAIN)))
+        yield pd.DataFrame(rows, columns=["grp", "start", *_C, *_U, "det", "falls"])
 
 
 def _distance() -> Column:
-    d = [F.col(f"t_{c}") - F.col("centre")[i] for i, c in enumerate(STATS)]
-    return sum((F.col("inverse")[i * _D + j] * d[i] * d[j] for i in range(_D) for j in range(_D)), F.lit(0.0))
+    x = [F.col(f"t_{c}") - F.col(_C[i]) for i, c in enumerate(STATS)]
+    rows = [[F.col(_U[k]) * x[j] for k, (i, j) in enumerate(_UPPER) if i == row] for row in range(_D)]
+    return sum((sum(r[1:], r[0]) * sum(r[1:], r[0]) for r in rows[1:]), sum(rows[0][1:], rows[0][0]) * sum(rows[0][1:], rows[0][0]))
 
 
 def _moments(rows: DataFrame, *by: str) -> DataFrame:
     t = [F.col(f"t_{c}") for c in STATS]
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(x) for x in t]).alias("s"), F.array(*[F.sum(x * y) for x in t for y in t]).alias("p"))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(t)],
+                                 *[F.sum(t[i] * t[j]).alias(f"p{k}") for k, (i, j) in enumerate(_UPPER)])
+
+
+def _with(rows: DataFrame, small: DataFrame, by: list[str], few: bool) -> DataFrame:
+    """Rows joined with a table of one row a group and start, beside the rows where there are few groups."""
+    return rows.join(F.broadcast(small) if few else small, by)
 
 
-def _starts(rows: DataFrame) -> DataFrame:
+def _starts(rows: DataFrame, few: bool) -> DataFrame:
     """Four deterministic estimates a group: medians with unit scatter; medians with the median
     absolute deviations; mean and covariance; and no repetition at all with the scatter of directions
     from the medians (spatial signs)."""
     t = [F.col(f"t_{c}") for c in STATS]
-    mid = rows.groupBy("grp").agg(F.array(*[F.percentile_approx(x, 0.5, ACCURACY) for x in t]).alias("mid"))
-    off = rows.join(mid, "grp")
-    dev = off.groupBy("grp", "mid").agg(F.array(*[F.percentile_approx(F.abs(x - F.col("mid")[i]), 0.5, ACCURACY) for i, x in enumerate(t)]).alias("mad"))
-    size = F.sqrt(sum(((x - F.col("mid")[i]) ** 2 for i, x in enumerate(t)), F.lit(0.0)))
-    signs = off.where(size > 0).select("grp", *[((x - F.col("mid")[i]) / size).alias(f"t_{c}") for (i, x), c in zip(enumerate(t), STATS, strict=True)])
-    diagonal = lambda entry: F.array(*[entry(i) if i == j else F.lit(0.0) for i in range(_D) for j in range(_D)])
-    given = lambda start, df, centre, inverse: df.select("grp", F.lit(start).alias("start"), centre.alias("centre"), inverse.alias("inverse"), F.lit(float("inf")).alias("det"))
-    plain = given(0, dev, F.col("mid"), diagonal(lambda i: F.lit(1 / NOISE**2)))
-    scaled = given(1, dev, F.col("mid"), diagonal(lambda i: 1 / ((F.col("mad")[i] * 1.4826) ** 2 + NOISE**2)))
-    whole = _moments(rows, "grp").withColumn("start", F.lit(2)).mapInPandas(_solve, ESTIMATE).withColumn("det", F.lit(float("inf")))
-    turned = _moments(signs, "grp").withColumn("start", F.lit(3)).mapInPandas(_solve, ESTIMATE).select(
-        "grp", "start", F.array(*[F.lit(0.0)] * _D).alias("centre"), "inverse", F.lit(float("inf")).alias("det"))
+    mid = cut(rows.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, ACCURACY).alias(_C[i]) for i, x in enumerate(t)]))
+    off = _with(rows, mid, ["grp"], few)
+    dev = off.groupBy("grp", *_C).agg(*[F.percentile_approx(F.abs(x - F.col(_C[i])), 0.5, ACCURACY).alias(f"m{i}") for i, x in enumerate(t)])
+    size = F.sqrt(sum(((x - F.col(_C[i])) * (x - F.col(_C[i])) for i, x in enumerate(t)), F.lit(0.0)))
+    signs = off.withColumn("size", size).where("size > 0").select("grp", *[((x - F.col(_C[i])) / F.col("size")).alias(f"t_{c}") for (i, x), c in zip(enumerate(t), STATS, strict=True)])
+    flat = lambda entry: [(entry(i) if i == j else F.lit(0.0)).alias(_U[k]) for k, (i, j) in enumerate(_UPPER)]
+    given = lambda start, df, centre, triangle: df.select("grp", F.lit(start).alias("start"), *centre, *triangle, F.lit(INF).alias("det"))
+    plain = given(0, dev, _C, flat(lambda i: F.lit(1 / NOISE)))
+    scaled = given(1, dev, _C, flat(lambda i: 1 / F.sqrt((F.col(f"m{i}") * 1.4826) * (F.col(f"m{i}") * 1.4826) + NOISE**2)))
+    first = lambda df, start: _moments(df, "grp").withColumns({"start": F.lit(start), "was": F.lit(INF)})
+    whole = given(2, first(rows, 2).mapInPandas(_solve, ESTIMATE), _C, _U)
+    turned = given(3, first(signs, 3).mapInPandas(_solve, ESTIMATE), [F.lit(0.0).alias(c) for c in _C], _U)
     return plain.unionByName(scaled).unionByName(whole).unionByName(turned)
 
 
 def least_determinant(rows: DataFrame, keep: float = 0.75, most_steps: int = 30) -> DataFrame:
-    """(grp, start, centre, inverse, det): per group the estimate of least determinant, from rows with a
-    grp and transformed statistics. Steps go on until no start of any group gains by one
-    (a step never raises a determinant), ``most_steps`` at most."""
-    now = cut(_starts(rows))
+    """(grp, start, centre, triangle, det): per group the estimate of least determinant, from rows with a
+    grp and transformed statistics. Steps go on until none lowers the determinant of any
+    start by a thousandth (they never raise it), ``most_steps`` at most."""
+    few = rows.select("grp").distinct().count() <= FEW
+    now = cut(_starts(rows, few))
     done = None
     for _ in range(most_steps):
-        far = rows.join(now.select("grp", "start", "centre", "inverse"), "grp").withColumn("d", _distance())
-        edge = far.groupBy("grp", "start").agg(F.percentile_approx("d", keep, ACCURACY).alias("edge"))
-        new = _moments(far.join(edge, ["grp", "start"]).where("d <= edge"), "grp", "start").mapInPandas(_solve, ESTIMATE)
-        new = cut(new.join(now.select("grp", "start", F.col("det").alias("was")), ["grp", "start"]))
-        still = F.col("det") < F.col("was") * (1 - 1e-6)
-        settled = new.where(~still).drop("was")
+        far = _with(rows, now.drop("det"), ["grp"], few).withColumn("d", _distance())
+        edge = cut(far.groupBy("grp", "start").agg(F.percentile_approx("d", keep, ACCURACY).alias("edge")))
+        held = _with(rows, now.drop("det").join(edge, ["grp", "start"]), ["grp"], few).where(_distance() <= F.col("edge"))
+        was = now.select("grp", "start", F.col("det").alias("was"))
+        new = cut(_moments(held, "grp", "start").join(was, ["grp", "start"]).mapInPandas(_solve, ESTIMATE))
+        settled = new.where("not falls").drop("falls")
         done = settled if done is None else done.unionByName(settled)
-        now = new.where(still).drop("was")
+        now = new.where("falls").drop("falls")
         if now.isEmpty():
             break
     else:
         done = done.unionByName(now)
-    best = F.min_by(F.struct("start", "centre", "inverse", "det"), F.struct("det", "start"))
+    best = F.min_by(F.struct("start", *_C, *_U, "det"), F.struct("det", "start"))
     return cut(done.groupBy("grp").agg(best.alias("b")).select("grp", "b.*"))
 
 
@@ -198,15 +214,16 @@ def repetition_outliers(documents: DataFrame, min_words: int = 20, threshold: fl
     stats = repetition_stats(documents).where(F.col("n_words") >= min_words)
     turned = stats.select("doc_id", "lang", "source", "n_words", "run8", *[F.asin(F.sqrt(c)).alias(f"t_{c}") for c in STATS], F.concat_ws("/", "lang", "source").alias("grp"))
     rows = written(turned, "repetition")
-    raw = rows.join(least_determinant(rows, keep).drop("start", "det"), "grp").withColumn("d", _distance())
+    few = rows.select("grp").distinct().count() <= FEW
+    raw = _with(rows, least_determinant(rows, keep).drop("start", "det"), ["grp"], few).withColumn("d", _distance())
     # a subset's scatter is under that of all, so distances are scaled down to a chi-square's median, never up
-    scale = lambda df: df.groupBy("grp").agg(F.greatest(F.percentile_approx("d", 0.5, ACCURACY) / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
-    near = raw.join(scale(raw), "grp").where(F.col("d") <= F.col("scale") * CHI2_NEAR)
-    final = cut(_moments(near, "grp").withColumn("start", F.lit(0)).mapInPandas(_solve, ESTIMATE).drop("start", "det"))
-    far = rows.join(final, "grp").withColumn("d", _distance())
+    scale = lambda df: cut(df.groupBy("grp").agg(F.greatest(F.percentile_approx("d", 0.5, ACCURACY) / CHI2_MEDIAN, F.lit(1.0)).alias("scale")))
+    near = _with(raw, scale(raw), ["grp"], few).where(F.col("d") <= F.col("scale") * CHI2_NEAR)
+    final = cut(_moments(near, "grp").withColumns({"start": F.lit(0), "was": F.lit(INF)}).mapInPandas(_solve, ESTIMATE).select("grp", *_C, *_U))
+    far = _with(rows, final, ["grp"], few).withColumn("d", _distance())
     distance = F.col("d") / F.col("scale")
-    more = F.greatest(*[F.col(f"t_{c}") - F.col("centre")[i] for i, c in enumerate(STATS)]) > 0
-    judged = far.join(scale(far), "grp").select(
+    more = F.greatest(*[F.col(f"t_{c}") - F.col(_C[i]) for i, c in enumerate(STATS)]) > 0
+    judged = _with(far, scale(far), ["grp"], few).select(
         "doc_id", "lang", "source", "n_words", F.col("run8").alias("share"), distance.alias("distance"),
         ((distance > CHI2_CUT) & more).alias("outlier"), (F.col("run8") >= threshold).alias("over"))
     return judged.withColumn("rejected", F.col("outlier") | F.col("over"))
