@@ -103,6 +103,7 @@ def lexical(queries: DataFrame, passages: DataFrame, stats: DataFrame, k: int =
         plans = written(query_plans(complex_, stats, s, query_col), "plans")
         bags = plans.where("kind = 'bag'")
         terms = terms.unionByName(bags.select("query_id", F.explode("wanted").alias("lexeme")))
+    terms = written(terms, "terms")  # its size is known when the join is planned: broadcast while it is small, so postings stay where they lie
     hits = postings.join(terms, "lexeme").groupBy("query_id", "passage_id").agg((F.sum("tf") * F.lit(WEIGHT)).alias("r"))
     if not said:
         banned = postings.select("passage_id", "lexeme").join(bags.select("query_id", F.explode("banned").alias("lexeme")), "lexeme")

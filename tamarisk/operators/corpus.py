@@ -39,9 +39,15 @@ def chunk_documents(documents: DataFrame, s: Settings = Settings()) -> DataFrame
 
 
 def postings(passages: DataFrame) -> DataFrame:
-    """(passage_id, lexeme, tf): one row per passage and distinct lexeme; no row without tokens."""
-    return passages.select("passage_id", F.explode(tokens(F.col("text"))).alias("lexeme")).groupBy("passage_id", "lexeme").agg(
-        F.count(F.lit(1)).alias("tf"))
+    """(passage_id, lexeme, tf): one row per passage and distinct lexeme; no row without tokens.
+
+    Passage ids are unique (see unique_passages), so a passage's words are sorted and counted
+    where it is read, and nothing is shuffled."""
+    rows = passages.select("passage_id", F.sort_array(tokens(F.col("text"))).alias("ws"))
+    first = F.filter(F.transform("ws", lambda w, i: F.when((i == 0) | (F.get("ws", i - 1) != w), i)), lambda i: i.isNotNull())
+    rows = rows.select("passage_id", "ws", first.alias("at"))
+    runs = F.transform("at", lambda i, n: F.struct(F.get("ws", i).alias("lexeme"), (F.coalesce(F.get("at", n + 1), F.size("ws")) - i).cast("long").alias("tf")))
+    return rows.select("passage_id", F.explode(runs).alias("x")).select("passage_id", "x.lexeme", "x.tf")
 
 
 def positions(passages: DataFrame) -> DataFrame:
