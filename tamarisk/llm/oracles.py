@@ -77,5 +77,14 @@ again AS (SELECT doc_id, n, i FROM run QUALIFY row_number() OVER (PARTITION BY d
 inside AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + 8)) AS at FROM again)
 SELECT doc_id FROM inside GROUP BY doc_id, n HAVING count(*) / n::DOUBLE >= 0.3"""
 
-SQL = {"p1_found": P1_FOUND, "p1_report": P1_REPORT, "p1_classes": P1_CLASSES, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p6_lexeme_df": P6_TABLE,
+_VECTORS = """v AS (SELECT passage_id AS id, min(embedding)::DOUBLE[] AS e FROM passages WHERE passage_id IS NOT NULL AND len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1)"""
+# exact, by all pairs; the operator is approximate, but on tables of this size it misses nothing
+P2_FOUND = f"""WITH {_VECTORS}, pair AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 12) AS c FROM v a JOIN v b ON a.id <> b.id),
+near AS (SELECT a, b FROM pair WHERE c >= 0.9 QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS passage_id_a, greatest(a, b) AS passage_id_b FROM near"""
+P2_NEIGHBOURS = f"""WITH {_VECTORS}, pair AS (SELECT a.id, b.id AS other, round(list_cosine_similarity(a.e, b.e), 12) AS c FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0)
+SELECT id, other, round(c, 6) AS cosine, row_number() OVER (PARTITION BY id ORDER BY c DESC, other)::INT AS place FROM pair QUALIFY place <= 5"""
+
+SQL = {"p2_found": P2_FOUND, "p2_neighbours": P2_NEIGHBOURS, "p1_found": P1_FOUND, "p1_report": P1_REPORT, "p1_classes": P1_CLASSES, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p6_lexeme_df": P6_TABLE,
        "p6_after_changes": P6_TABLE, "p7_found": P7_FOUND, "p7_groups": P7_GROUPS, "p10_found": P10_FOUND}

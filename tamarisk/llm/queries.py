@@ -38,7 +38,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar, however similar, of every passage whose id is divisible by 100, against all."""
-    return vectors.most_similar(_table(spark, d, "passages"), "passage_id", "embedding", queries=F.col("id") % 100 == 0)
+    return vectors.most_similar(_table(spark, d, "passages"), "passage_id", "embedding", queries=F.col("id") % 100 == 0).withColumn("cosine", F.round("cosine", 6))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
