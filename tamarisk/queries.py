@@ -498,6 +498,15 @@ def conjunctive_cover_density(spark, d):
     return arms.top(hit, DEPTH)
 
 
+sql("conjunctive_cover_density", P, TOK_AT, "hw AS (SELECT * FROM tp WHERE lexeme IN ('insulator', 'clusters', 'regulator'))",
+    """ends AS (SELECT passage_id, pos AS z, least(max(CASE WHEN lexeme = 'insulator' THEN pos END) OVER w, max(CASE WHEN lexeme = 'clusters' THEN pos END) OVER w,
+  max(CASE WHEN lexeme = 'regulator' THEN pos END) OVER w) AS a, count(DISTINCT lexeme) OVER w AS n FROM hw WINDOW w AS (PARTITION BY passage_id ORDER BY pos))""",
+    "covers AS (SELECT passage_id, a, min(z) AS z FROM ends WHERE n = 3 GROUP BY 1, 2)",  # of those with one start the shortest
+    "part AS (SELECT c.passage_id, c.a, 0.1::DOUBLE / (1 + (c.z - c.a + 1) - count(*)) AS r FROM covers c JOIN hw h ON h.passage_id = c.passage_id AND h.pos BETWEEN c.a AND c.z GROUP BY c.passage_id, c.a, c.z)",
+    "hit AS (SELECT passage_id, round(sum(r) / (1 + sum(r)), 6) AS score FROM part GROUP BY 1)",
+    body="SELECT 1 AS query_id, passage_id, score, row_number() OVER (ORDER BY score DESC, passage_id)::INT AS rank FROM hit QUALIFY rank <= 100")
+
+
 @query
 def hybrid_rerank(spark, d):
     """The flagship: all four stages for every labelled test query, with a reranker trained

@@ -41,4 +41,4 @@ def test_limits_commute():
 def test_every_query_is_registered():
     assert set(SQL) <= set(core.queries())
     assert set(core.queries()) - set(SQL) == {
-        "conjunctive_cover_density", "hybrid_rerank", "ablation_all_arms", "ann_lsh", "embedded_passages", "stemmed_lexemes"}
+        "hybrid_rerank", "ablation_all_arms", "ann_lsh", "embedded_passages", "stemmed_lexemes"}
