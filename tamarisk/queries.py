@@ -19,8 +19,8 @@ from tamarisk.operators import arms, corpus, evalset, metrics, mining, pipeline,
 from tamarisk.operators.cover import cover_score
 from tamarisk.operators.ml import embed_missing
 from tamarisk.operators.search import Corpus, eval_queries
-from tamarisk.plans.materialise import shared_dir, written
-from tamarisk.sources.records import normalise_records
+from tamarisk.plans.materialise import folder, shared_dir, written
+from tamarisk.sources.records import normalise_records, read_runs, write_runs
 from tamarisk.streaming.ingest import documents_table, in_order, ingest_stream, windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -328,6 +328,17 @@ def dense_topk(spark, d):
 sql("dense_topk", dense_cte(K_FTS), body="SELECT query_id, passage_id, score, rank FROM dense")
 
 
+@query
+def dense_with_titles(spark, d):
+    """The dense arm's hits with document and title, joined after the cut."""
+    c = the_corpus(spark, d)
+    return arms.with_titles(_dense(spark, d, K_FTS), c.passages, c.documents).select("query_id", "passage_id", "doc_id", "score", "rank", "title")
+
+
+sql("dense_with_titles", P, dense_cte(K_FTS),
+    body="SELECT f.query_id, f.passage_id, p.doc_id, f.score, f.rank, d.title FROM dense f JOIN p USING (passage_id) JOIN documents d ON d.doc_id = p.doc_id")
+
+
 @query
 def ann_lsh(spark, d):
     """The approximate option: buckets where they give the k, exact otherwise."""
@@ -380,9 +391,12 @@ def _own_citations(spark, d) -> DataFrame:
 
 @query
 def rrf_weight_sweep(spark, d):
-    """Retrieve once, fuse with every weight, score them in one plan; the best by nDCG is marked."""
-    c = the_corpus(spark, d)
-    fts, dense = written(_fts(spark, d, DEPTH), "runs"), written(_dense(spark, d, DEPTH), "runs")
+    """Retrieve once, keep the runs by label, fuse what is read back with every weight, score them in
+    one plan; the best by nDCG is marked."""
+    c, cache = the_corpus(spark, d), folder(spark, "runs")
+    write_runs(_fts(spark, d, DEPTH), cache, "fts")
+    write_runs(_dense(spark, d, DEPTH), cache, "dense")
+    fts, dense = (read_runs(spark, cache, label).drop("label") for label in ("fts", "dense"))
     runs = None
     for w in SWEEP:
         one = arms.fuse({"fts": fts, "dense": dense}, K_RUN, 60, {"fts": w, "dense": 1.0}).select(F.lit(str(w)).alias("run"), "query_id", "passage_id", "rank")
@@ -671,18 +685,46 @@ sql("latency_percentiles", body="SELECT event_type, coalesce(quantile_disc(value
 
 @query
 def pool_for_judging(spark, d):
+    """What three arms rank first, for a person to judge (the fourth needs a trained model; it is in ``Corpus``)."""
     c, q = _asked(spark, d)
-    runs = _fts(spark, d, K_FTS).withColumn("run", F.lit("fts")).unionByName(_dense(spark, d, K_FTS).withColumn("run", F.lit("dense")))
-    return evalset.pool_for_judging(written(runs, "runs"), c.passages, c.documents, q, ("fts", "dense"))
+    base = {"fts": written(_fts(spark, d, DEPTH), "runs"), "dense": written(_dense(spark, d, DEPTH), "runs")}
+    runs = arms.fuse(base, K_FTS, 60, {"fts": 0.5, "dense": 1.0}).drop("components").withColumn("run", F.lit("hybrid"))
+    for arm, run in base.items():
+        runs = runs.unionByName(run.where(F.col("rank") <= K_FTS).withColumn("run", F.lit(arm)))
+    return evalset.pool_for_judging(written(runs, "runs"), c.passages, c.documents, q, ("fts", "dense", "hybrid"))
 
 
-sql("pool_for_judging", P, TOK, STATS, Q_PASSAGES, TERMS, fts_cte(K_FTS), dense_cte(K_FTS),
-    """hit AS (SELECT r.*, p.doc_id, p.text FROM (SELECT *, 'fts' AS run, 1 AS place FROM fts UNION ALL SELECT *, 'dense', 2 FROM dense) r JOIN p USING (passage_id))""",
+sql("pool_for_judging", *HYBRID, RRF,
+    """hit AS (SELECT r.*, p.doc_id, p.text FROM (SELECT query_id, passage_id, rank, 'fts' AS run, 1 AS place FROM fts UNION ALL SELECT query_id, passage_id, rank, 'dense', 2 FROM dense
+  UNION ALL SELECT query_id, passage_id, rank, 'hybrid', 3 FROM rrf) r JOIN p USING (passage_id) WHERE rank <= 10)""",
     body="""SELECT q.query_text AS query, h.doc_id, d.title, h.passage, h.found_by, '' AS relevance FROM (
   SELECT query_id, doc_id, string_agg(DISTINCT run, '|' ORDER BY run) AS found_by, arg_min(substring(text, 1, 300), place * 1000 + rank) AS passage FROM hit GROUP BY 1, 2) h
   JOIN documents d USING (doc_id) JOIN q USING (query_id)""")
 
 
+@query
+def eval_set_prefix(spark, d):
+    """The first 25 labelled queries by id (the limit is the feature)."""
+    s = evalset.load_eval_set(table(spark, d, "eval_queries"), table(spark, d, "eval_qrels"), "train", "citation")
+    return evalset.ranked_prefix(s, 25).select("query_id", "query_text", F.size("qrels").alias("n_labels"))
+
+
+sql("eval_set_prefix", q_eval("train", "citation"), LABELS, body="""SELECT q.query_id, q.query_text, count(*)::INT AS n_labels FROM q JOIN labels l USING (query_id) GROUP BY 1, 2
+  ORDER BY query_id LIMIT 25""")
+
+
+@query
+def deltas_to_baseline(spark, d):
+    """Each event type's mean value against that of the first type, as runs are held against a baseline run."""
+    t = table(spark, d, "events").groupBy(F.col("event_type").alias("run")).agg(F.avg("value").alias("mean"))
+    first = table(spark, d, "events").agg(F.min("event_type")).first()[0]
+    return metrics.against_baseline(t, first, ["mean"]).select("run", F.round("mean", 6).alias("mean"), F.round("mean_delta", 6).alias("mean_delta"))
+
+
+sql("deltas_to_baseline", "t AS (SELECT event_type AS run, avg(value) AS mean FROM events GROUP BY 1)",
+    body="SELECT run, round(mean, 6) AS mean, round(mean / (SELECT mean FROM t ORDER BY run LIMIT 1) - 1, 6) AS mean_delta FROM t")
+
+
 @query
 def import_qrels(spark, d):
     """Judged rows as a person would leave them: blanks where there is no grade."""

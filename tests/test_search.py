@@ -8,7 +8,7 @@ from tamarisk.operators.corpus import (
     NotFound, documents_with_passages, english_vectors, get_document, positions, stemmed_postings, unique_passages,
 )
 from tamarisk.operators.metrics import distinct_documents
-from tamarisk.operators.ml import HashingEncoder, embed_missing, load_model, save_model
+from tamarisk.operators.ml import HashingEncoder, embed_missing, load_model, save_model, save_vectors
 from tamarisk.operators.search import Corpus, eval_queries
 from tamarisk.sources.records import ResponseCache, ablation_markdown, read_runs, reference_lists, write_runs
 
@@ -187,3 +187,9 @@ def test_point_lookup(spark):
     for bad in (0, -1, "4", None, True):
         with pytest.raises(ValueError):
             get_document(c.documents, c.raw_passages, bad)
+
+
+def test_vectors_are_kept(spark):
+    stored = spark.createDataFrame([(1, "a", [1.0]), (2, "b", None), (3, "c", None)], "passage_id long, text string, embedding array<float>")
+    new = spark.createDataFrame([(1, [9.0]), (2, [2.0]), (7, [7.0])], "id long, vec array<float>")
+    assert {r.passage_id: r.embedding for r in save_vectors(stored, new).collect()} == {1: [1.0], 2: [2.0], 3: None}
