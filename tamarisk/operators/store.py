@@ -142,9 +142,11 @@ class VersionedTable:
         held = self.versions()
         if not held:
             return None
-        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(
-            self.fs.open(self.mk(f"{self.path}/_versions/{held[-1] if version is None else version}.json")), "UTF-8")
-        return json.loads(text)
+        source = self.fs.open(self.mk(f"{self.path}/_versions/{held[-1] if version is None else version}.json"))
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+        finally:
+            source.close()
 
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int") if self.keys else F.lit(0)
