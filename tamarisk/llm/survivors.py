@@ -10,7 +10,7 @@ Currency (after Fan, Geerts, Wijsen, "Determining the currency of data", TODS
 Where a time is missing, or times are equal, numbers follow in the order of numbers (counts and years grow), and
 other values by precedence learned from all rows that carry a time: v1 precedes v2
 where that order of neighbours in time is seen more often than its reverse, and also over further values that
-the group need not hold (up to ``STEPS`` transitions). The latest are
+the group need not hold, however many. The latest are
 those that precede no other value of the group. Ties, and cycles, fall back on the rank.
 
 All but the learning is aggregates with partial sums and equi-joins; for that the
@@ -30,7 +30,7 @@ from tamarisk.plans.materialise import written
 TRUST = ("MED", "PMC", "AGR", "CTX", "ETH", "PAT", "PPR")
 FIELDS = ("pmid", "pmcid", "doi", "abstract", "journal", "pub_year")
 CURRENT = ("journal", "pub_year", "cited_by")
-STEPS = 8  # transitions that learned precedence reaches over
+STEPS = 8  # learned transitions followed one at a time; what lies farther is reached by doubling
 
 
 def normal_doi(doi: Column) -> Column:
@@ -87,16 +87,39 @@ def value_precedence(values: DataFrame) -> DataFrame:
     return signed.groupBy("field", "earlier", "later").agg(F.sum("n").alias("n")).where("n > 0").select("field", "earlier", "later")
 
 
-def follows(wanted: DataFrame, later: DataFrame, steps: int = STEPS) -> DataFrame:
+def _farther(wanted: DataFrame, found: DataFrame, hops: DataFrame, front: DataFrame, seen: DataFrame) -> DataFrame:
+    """The pairs found, and those of the wanted ones that lie over longer paths than were seen, of any length.
+
+    Round k knows all that is fewer than 2^k transitions beyond a value's front and joins it with ``hops``,
+    the paths of exactly 2^k; a value that gets nothing new has reached all it can. Transitions into
+    values that every open value has passed lead to nothing new and are left out."""
+    key = ["field", "value"]
+    reach = written(front, "currency")
+    starts = reach.select(*key).distinct()
+    passed = seen.join(starts, key, "left_semi").groupBy("field", "at").agg(F.count(F.lit(1)).alias("n")).join(
+        starts.groupBy("field").agg(F.count(F.lit(1)).alias("n")), ["field", "n"], "left_semi")
+    hops = written(hops.join(passed.select("field", F.col("at").alias("next")), ["field", "next"], "left_anti").select("field", "at", "next"), "currency")
+    while not reach.isEmpty():
+        new = written(reach.join(hops, ["field", "at"]).select(*key, F.col("next").alias("at")).distinct().join(seen, [*key, "at"], "left_anti"), "currency")
+        seen = seen.unionByName(new)
+        found = written(found.unionByName(wanted.join(new.withColumnRenamed("at", "other"), [*key, "other"], "left_semi")), "currency")
+        open_ = wanted.join(found, [*key, "other"], "left_anti").select(*key).distinct().join(new, key, "left_semi")
+        reach = written(reach.unionByName(new).join(open_, key, "left_semi"), "currency")
+        onward = hops.select("field", F.col("at").alias("next"), F.col("next").alias("far"))
+        hops = written(hops.join(onward, ["field", "next"]).select("field", "at", F.col("far").alias("next")).distinct(), "currency")
+    return found
+
+
+def follows(wanted: DataFrame, later: DataFrame, steps: int | None = STEPS) -> DataFrame:
     """(field, value, other): those of the wanted pairs in which value precedes other over at most
-    ``steps`` learned transitions.
+    ``steps`` learned transitions, or over any number of them (None).
 
     Paths grow from wanted values only, and a value is left as soon as all its pairs are known."""
     edges = written(later.select("field", F.col("earlier").alias("at"), F.col("later").alias("next")), "currency")
     wanted = written(wanted.select("field", "value", "other").distinct(), "currency")
     front = wanted.select("field", "value", F.col("value").alias("at")).distinct()
     seen, found = None, None
-    for _ in range(steps):
+    for _ in range(STEPS if steps is None else steps):
         new = front.join(edges, ["field", "at"]).select("field", "value", F.col("next").alias("at")).distinct()
         new = new if seen is None else new.join(seen, ["field", "value", "at"], "left_anti")
         front = written(new, "currency")
@@ -107,6 +130,9 @@ def follows(wanted: DataFrame, later: DataFrame, steps: int = STEPS) -> DataFram
         found = written(hit if found is None else found.unionByName(hit), "currency")
         open_ = wanted.join(found, ["field", "value", "other"], "left_anti").select("field", "value").distinct()
         front = front.join(open_, ["field", "value"], "left_semi")
+    else:
+        if steps is None:
+            found = _farther(wanted, found, edges, front, seen)
     return wanted.where("false") if found is None else found
 
 
@@ -133,7 +159,7 @@ def _current_values(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     open_ = written(  # pairs that the group's own times don't order
         texts.join(peers, ["group_id", "field"]).where("value <> other").where(F.coalesce(F.col("last") == F.col("peer_last"), F.lit(True)))
         .select("group_id", "field", "value", "other"), "currency")
-    reached = follows(open_, value_precedence(texts))
+    reached = follows(open_, value_precedence(texts), steps=None)
     back = reached.select("field", F.col("other").alias("value"), F.col("value").alias("other"))
     one_way = reached.join(back, ["field", "value", "other"], "left_anti")  # both ways is a cycle: no order
     learned = open_.join(one_way, ["field", "value", "other"]).select("group_id", "field", "value").distinct()

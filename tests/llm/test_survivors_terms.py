@@ -82,6 +82,57 @@ def test_currency_is_closed(spark):
     assert {(r.value, r.other) for r in follows(pairs, chain).collect()} == {("00", f"{k:02}") for k in range(1, 9)} | {("05", "07")}
 
 
+def test_currency_reaches_any_distance(spark):
+    """No number of learned transitions is too many, for an order as for a cycle."""
+    rows, i = [], 0
+
+    def group(*members):
+        nonlocal i
+        i += 100
+        for n, (journal, day) in enumerate(members):
+            rows.append(doc(i + n, i if n else None, day=day, journal=journal))
+        return i
+
+    for k in range(20):
+        group((f"c{k:02}", 1), (f"c{k + 1:02}", 2))
+    for k in range(12):  # a ring: three on, and nine back
+        group((f"r{k:02}", 1), (f"r{(k + 1) % 12:02}", 2))
+    near = group(("c00", None), ("c08", None))
+    over, end = group(("c00", None), ("c09", None)), group(("c01", None), ("c20", None))
+    ring = group(("r00", None), ("r03", None))
+    got = {r.group_id: r.current_journal for r in best_representatives(spark.createDataFrame(rows, DOC), texts=()).collect()}
+    assert [got[g] for g in (near, over, end, ring)] == ["c08", "c09", "c20", "r00"]
+
+
+def test_follows_is_closed(spark):
+    """Against a plain search, on a chain, a long ring, sparse random orders, and a knot with a tail."""
+    rng = random.Random(5)
+    edges = {("chain", k, k + 1) for k in range(60)} | {("ring", k, (k + 1) % 41) for k in range(41)}
+    edges |= {("any", rng.randrange(150), rng.randrange(150)) for _ in range(190)}
+    edges |= {("knot", rng.randrange(12), rng.randrange(12)) for _ in range(60)} | {("knot", 11 + k, 12 + k) for k in range(30)}
+    edges = {(f, a, b) for f, a, b in edges if a != b}
+    onward = {}
+    for f, a, b in edges:
+        onward.setdefault((f, a), set()).add(b)
+
+    def reached(f, a):
+        out, todo = set(), [a]
+        while todo:
+            fresh = onward.get((f, todo.pop()), set()) - out
+            out |= fresh
+            todo += fresh
+        return out
+
+    wanted = {(f, rng.randrange(n), rng.randrange(n)) for f, n in (("chain", 61), ("ring", 41), ("any", 150), ("knot", 42), ("none", 9)) for _ in range(120)}
+    wanted = {(f, a, b) for f, a, b in wanted if a != b} | {("chain", 0, 60), ("knot", 0, 41)}
+    text = lambda rows: [(f, str(a), str(b)) for f, a, b in sorted(rows)]
+    later = spark.createDataFrame(text(edges), "field string, earlier string, later string")
+    pairs = spark.createDataFrame(text(wanted), "field string, value string, other string")
+    want = text((f, a, b) for f, a, b in wanted if b in reached(f, a))
+    assert sorted((r.field, r.value, r.other) for r in follows(pairs, later, None).collect()) == sorted(want)
+    assert len(want) > follows(pairs, later).count()
+
+
 def plain_counts(records):
     texts = {}
     for i, t in records:
