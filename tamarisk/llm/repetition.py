@@ -7,8 +7,9 @@ shares are transformed (arcsine of the root), and per language and source a robu
 centre and scatter are estimated by the minimum covariance determinant (Rousseeuw and
 Van Driessen, Technometrics 1999): from several deterministic starts (as in Hubert,
 Rousseeuw and Verdonck, 2012) concentration steps run until no determinant falls by a
-thousandth, the least is kept, and one reweighting step follows. A floor under the scatter
-keeps the determinant above 0 where most documents repeat nothing (Boudt et al., 2020).
+thousandth, the least is kept, and one reweighting step follows. The scatter of a part of the
+rows is enlarged by the factor that makes it that of all (normal) rows, before a floor is added that
+keeps the determinant above 0 where most documents repeat nothing (both as in Boudt et al., 2020).
 Documents far from the centre in Mahalanobis distance, on the side of more
 repetition, are outliers; they, and those over the share that is too much anywhere, are rejected.
 
@@ -18,9 +19,10 @@ quantile, then moments), so a group of any size spreads over all tasks.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -33,7 +35,7 @@ from tamarisk.plans.materialise import cut, written
 
 STATS = ("run8", "run3", "sentences", "lines", "paragraphs")
 _D = len(STATS)
-CHI2_MEDIAN, CHI2_NEAR, CHI2_CUT = 4.351, 12.833, 20.515  # fixed values: quantiles 0.5, 0.975 and 0.999 of chi-square, 5 degrees of freedom
+NEAR, CHI2_NEAR, CHI2_CUT = 0.975, 12.833, 20.515  # fixed values: quantiles 0.975 and 0.999 of chi-square, 5 degrees of freedom
 ACCURACY = 100_000  # of approximate quantiles: exact up to as many rows
 NOISE = 0.05  # differences of a transformed share under this count for little
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n")
@@ -124,21 +126,50 @@ def _triangle(scatter: np.ndarray) -> np.ndarray:
     return np.linalg.cholesky(np.linalg.inv(scatter)).T[tuple(zip(*_UPPER, strict=True))]
 
 
-def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _chi2(x: float, k: int) -> float:
+    """The chi-square distribution at x, for an odd number of degrees of freedom."""
+    out = math.erf(math.sqrt(x / 2))
+    for j in range(1, k, 2):
+        out -= (x / 2) ** (j / 2) * math.exp(-x / 2) / math.gamma(j / 2 + 1)
+    return out
+
+
+def consistency(keep: float) -> float:
+    """How many times the scatter of all normal rows is that of the share ``keep`` of them nearest the centre."""
+    low, high = 0.0, 200.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if _chi2(mid, _D) < keep else (low, mid)
+    return keep / _chi2(high, _D + 2)
+
+
+def _solve(batches: Iterator[pd.DataFrame], factor: float = 1.0) -> Iterator[pd.DataFrame]:
     """Moments of each group and start (one row) to centre, triangle and determinant; falls says
-    whether that is under the last one (``was``)."""
+    whether that is under the last one (``was``). The floor isn't multiplied by ``factor``."""
     for b in batches:
         rows = []
         for r in b.itertuples(index=False):
             m, c = np.array([getattr(r, f"s{i}") for i in range(_D)]) / r.n, np.empty((_D, _D))
             for k, (i, j) in enumerate(_UPPER):
                 c[i, j] = c[j, i] = getattr(r, f"p{k}") / r.n - m[i] * m[j]
-            c += np.eye(_D) * NOISE**2
+            c = c * factor + np.eye(_D) * NOISE**2
             det = float(np.linalg.det(c))
             rows.append((r.grp, r.start, *m, *_triangle(c), det, det < r.was * (1 - GAIN)))
         yield pd.DataFrame(rows, columns=["grp", "start", *_C, *_U, "det", "falls"])
 
 
+def _enlarged(batches: Iterator[pd.DataFrame], factor: float) -> Iterator[pd.DataFrame]:
+    """Estimates with their scatter, but not its floor, multiplied."""
+    for b in batches:
+        rows = []
+        for r in b.itertuples(index=False):
+            u = np.zeros((_D, _D))
+            u[tuple(zip(*_UPPER, strict=True))] = [getattr(r, c) for c in _U]
+            floor = np.eye(_D) * NOISE**2
+            rows.append((r.grp, *[getattr(r, c) for c in _C], *_triangle((np.linalg.inv(u.T @ u) - floor) * factor + floor)))
+        yield pd.DataFrame(rows, columns=["grp", *_C, *_U])
+
+
 def _distance() -> Column:
     x = [F.col(f"t_{c}") - F.col(_C[i]) for i, c in enumerate(STATS)]
     rows = [[F.col(_U[k]) * x[j] for k, (i, j) in enumerate(_UPPER) if i == row] for row in range(_D)]
@@ -215,15 +246,15 @@ def repetition_outliers(documents: DataFrame, min_words: int = 20, threshold: fl
     turned = stats.select("doc_id", "lang", "source", "n_words", "run8", *[F.asin(F.sqrt(c)).alias(f"t_{c}") for c in STATS], F.concat_ws("/", "lang", "source").alias("grp"))
     rows = written(turned, "repetition")
     few = rows.select("grp").distinct().count() <= FEW
-    raw = _with(rows, least_determinant(rows, keep).drop("start", "det"), ["grp"], few).withColumn("d", _distance())
-    # a subset's scatter is under that of all, so distances are scaled down to a chi-square's median, never up
-    scale = lambda df: cut(df.groupBy("grp").agg(F.greatest(F.percentile_approx("d", 0.5, ACCURACY) / CHI2_MEDIAN, F.lit(1.0)).alias("scale")))
-    near = _with(raw, scale(raw), ["grp"], few).where(F.col("d") <= F.col("scale") * CHI2_NEAR)
-    final = cut(_moments(near, "grp").withColumns({"start": F.lit(0), "was": F.lit(INF)}).mapInPandas(_solve, ESTIMATE).select("grp", *_C, *_U))
-    far = _with(rows, final, ["grp"], few).withColumn("d", _distance())
-    distance = F.col("d") / F.col("scale")
+    least = least_determinant(rows, keep).select("grp", *_C, *_U)
+    raw = cut(least.mapInPandas(partial(_enlarged, factor=consistency(keep)), least.schema))
+    near = _with(rows, raw, ["grp"], few).where(_distance() <= CHI2_NEAR)
+    moments = _moments(near, "grp").withColumns({"start": F.lit(0), "was": F.lit(INF)})
+    final = cut(moments.mapInPandas(partial(_solve, factor=consistency(NEAR)), ESTIMATE).select("grp", *_C, *_U))
+    far = _with(rows, final, ["grp"], few).withColumn("distance", _distance())
+    distance = F.col("distance")
     more = F.greatest(*[F.col(f"t_{c}") - F.col(_C[i]) for i, c in enumerate(STATS)]) > 0
-    judged = _with(far, scale(far), ["grp"], few).select(
-        "doc_id", "lang", "source", "n_words", F.col("run8").alias("share"), distance.alias("distance"),
+    judged = far.select(
+        "doc_id", "lang", "source", "n_words", F.col("run8").alias("share"), "distance",
         ((distance > CHI2_CUT) & more).alias("outlier"), (F.col("run8") >= threshold).alias("over"))
     return judged.withColumn("rejected", F.col("outlier") | F.col("over"))

@@ -1,11 +1,13 @@
 import random
 import re
+from statistics import NormalDist
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tamarisk.functions.words import word_list
+from tamarisk.llm import repetition
 from tamarisk.llm.mixture import mix_sources
 from tamarisk.llm.pieces import cut_item, piece_spans, split_oversized
 from tamarisk.llm.repetition import ACCURACY, NOISE, STATS, hashed, least_determinant, repeated_share, repetition_outliers
@@ -177,3 +179,14 @@ def test_least_determinant(spark):
         det, centre = fast_mcd(x, h) if len(x) > d + 1 else (NOISE ** (2 * d), x[0])
         assert got[g].det <= det * 1.05 and np.abs(np.array([got[g][f"c{i}"] for i in range(d)]) - centre).max() < 0.03, g
     assert ACCURACY >= 10_000 and len({r.grp for r in got.values()}) == 4
+
+
+def test_scatter_is_that_of_all_rows(spark, monkeypatch):
+    """Normal rows, most statistics 0: the estimate from the nearest rows gives distances of the scatter of all."""
+    t = [0.8 + 0.2 * NormalDist().inv_cdf((k + 0.5) / 2000) for k in range(2000)]
+    rows = [(k, "en", "MED", 50, float(np.sin(x) ** 2), 0.0, 0.0, 0.0, 0.0) for k, x in enumerate(t)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, " + ", ".join(f"{c} double" for c in STATS))
+    monkeypatch.setattr(repetition, "repetition_stats", lambda documents: documents)
+    got = repetition_outliers(df).agg(F.avg("distance")).first()[0]
+    turned = np.arcsin(np.sqrt(np.sin(t) ** 2))
+    assert got == pytest.approx(turned.var() / (turned.var() + NOISE**2), rel=0.06)
