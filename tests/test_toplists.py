@@ -46,6 +46,7 @@ def shuffled(spark) -> int:
     ("fts_negation", 40_000),  # 148,784, now 20,913
     ("fts_web_or", 40_000),  # 113,232, now 21,817
     ("fts_phrase", 15_000),  # 40,671, now 8,783
+    ("fts_all_words", 15_000),  # 107,867, now 7,440
 ])
 def test_rows_shuffled(spark, crowded, name, most):
     before = shuffled(spark)
