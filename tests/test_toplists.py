@@ -49,6 +49,7 @@ def shuffled(spark) -> int:
     ("fts_all_words", 15_000),  # 107,867, now 7,440
     ("join_before_limit", 40_000),  # 514,039, now 24,202
     ("hard_negatives", 150_000),  # 311,807, now 94,524
+    ("training_pairs", 170_000),  # 333,468, now 116,185
     ("mining_stats", 170_000),  # 335,269, now 117,986
 ])
 def test_rows_shuffled(spark, crowded, name, most):
