@@ -48,6 +48,7 @@ def shuffled(spark) -> int:
     ("fts_phrase", 15_000),  # 40,671, now 8,783
     ("fts_all_words", 15_000),  # 107,867, now 7,440
     ("fts_topk", 40_000),  # 267,020, now 24,202
+    ("join_after_limit", 40_000),  # 267,020, now 24,202
     ("join_before_limit", 40_000),  # 514,039, now 24,202
     ("hard_negatives", 150_000),  # 311,807, now 94,524
     ("training_pairs", 170_000),  # 333,468, now 116,185
