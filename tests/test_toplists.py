@@ -53,6 +53,7 @@ def shuffled(spark) -> int:
     ("hard_negatives", 150_000),  # 311,807, now 94,524
     ("training_pairs", 170_000),  # 333,468, now 116,185
     ("mining_stats", 170_000),  # 335,269, now 117,986
+    ("hybrid_rerank", 640_000),  # 739,683, now 541,710
 ])
 def test_rows_shuffled(spark, crowded, name, most):
     before = shuffled(spark)
