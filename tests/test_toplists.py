@@ -50,6 +50,7 @@ def shuffled(spark) -> int:
     ("fts_topk", 40_000),  # 267,020, now 24,202
     ("join_after_limit", 40_000),  # 267,020, now 24,202
     ("join_before_limit", 40_000),  # 514,039, now 24,202
+    ("rrf_fuse", 250_000),  # 354,021, now 195,210
     ("hard_negatives", 150_000),  # 311,807, now 94,524
     ("training_pairs", 170_000),  # 333,468, now 116,185
     ("mining_stats", 170_000),  # 335,269, now 117,986
