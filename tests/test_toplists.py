@@ -52,6 +52,7 @@ def shuffled(spark) -> int:
     ("join_before_limit", 40_000),  # 514,039, now 24,202
     ("rrf_fuse", 250_000),  # 354,021, now 195,210
     ("rrf_weight_sweep", 1_570_000),  # 1,650,242, now 1,491,431
+    ("pool_for_judging", 330_000),  # 428,991, now 270,180
     ("hard_negatives", 150_000),  # 311,807, now 94,524
     ("training_pairs", 170_000),  # 333,468, now 116,185
     ("mining_stats", 170_000),  # 335,269, now 117,986
